@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilspark.llm import bpe
-from veilspark.llm.common import read
+from veilspark.llm import bpe, language, toxicity
+from veilspark.llm.common import crc_class, read
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +18,24 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicts the language of every document, learnt from those whose class isn't 2."""
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, language.fitted(docs))
+    return found.select("doc_id", (crc_class("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document's toxicity, learnt from labels of documents whose class isn't 0."""
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score_documents(docs, toxicity.fitted(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (crc_class("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op8_language": op8_language,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}
