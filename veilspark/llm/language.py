@@ -67,7 +67,7 @@ def vector(words: list[str]) -> np.ndarray:
     return out / max(1, len(words))
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 4.0, rounds: int = 12, seed: int = 3) -> np.ndarray:
+def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 40.0, rounds: int = 15, seed: int = 3) -> np.ndarray:
     """A linear support vector machine (hinge loss) by dual coordinate descent; x holds a constant column. y: -1 or 1."""
     rng = np.random.default_rng(seed)
     w, alpha, norms = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, language, toxicity
+from veilspark.llm import bpe, language, media, sharding, toxicity, urlrules, warc
 from veilspark.llm.common import crc_class, read
 
 
@@ -18,6 +18,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a record for every page, normalises the archives and reads them back."""
+    members, _ = warc.archive(read(spark, sf_dir, "pages"))
+    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:x-record:(.*)>', 1) AS bigint)")
+    return warc.read_members(members).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores every document as an image, reads it back and computes features."""
+    return media.stored_features(read(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puts every document into one of 24 shards by its key, and says where it would go with one more."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    columns = [(F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
+    placed = sharding.assign(read(spark, sf_dir, "documents"), "doc_id", [1.0] * 24, [1.0] * 25, columns)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicts the language of every document, learnt from those whose class isn't 2."""
     docs = read(spark, sf_dir, "documents")
@@ -32,10 +52,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_class("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 
 
+#: The rules of op9: verdict, host and path.
+URL_RULES = [urlrules.Rule("allow", "com/"), urlrules.Rule("block", "example.com/en/"), urlrules.Rule("allow", "www.example.com/en/"), urlrules.Rule("block", "net/es/"), urlrules.Rule("block", "net/fr/")]
+
+OP9_SQL = """
+WITH parts AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM parts
+), rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fits AS (
+  SELECT h.page_id, h.host, h.path, r.host || r.path AS rule, r.verdict, length(r.host || r.path) AS size
+  FROM hosts h LEFT JOIN rules r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)
+)
+SELECT page_id, host, path, arg_max(rule, size) AS rule, coalesce(arg_max(verdict, size), 'allow') AS verdict
+FROM fits GROUP BY page_id, host, path
+"""
+
+
+def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges the URL of every page."""
+    return urlrules.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_warc": op3_warc,
+    "op6_media": op6_media,
+    "op7_sharding": op7_sharding,
     "op8_language": op8_language,
+    "op9_urls": op9_urls,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_urls": OP9_SQL}
