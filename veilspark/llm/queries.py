@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, language, media, sharding, toxicity, urlrules, warc
+from veilspark.llm import bpe, language, media, ngramjoin, sharding, toxicity, urlrules, warc
 from veilspark.llm.common import crc_class, read
 
 
@@ -25,6 +25,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_members(members).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups documents whose 3-word shingles have a Jaccard similarity of at least 0.9."""
+    return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as an image, reads it back and computes features."""
     return media.stored_features(read(spark, sf_dir, "documents"))
@@ -80,6 +85,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_warc": op3_warc,
+    "op4_ngram_join": op4_ngram_join,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
     "op8_language": op8_language,
