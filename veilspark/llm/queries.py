@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, language, media, ngramjoin, sharding, toxicity, urlrules, warc
+from veilspark.llm import bpe, decontaminate, language, media, ngramjoin, sharding, toxicity, urlrules, warc
 from veilspark.llm.common import crc_class, read
 
 
@@ -30,6 +30,37 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+OP5_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item_id, w, least(len(w), 10) AS width, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, width, array_to_string(w[i:i + width - 1], ' ') AS words FROM starts
+), widths AS (SELECT DISTINCT width FROM windows
+), places AS (
+  SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, widths WHERE len(w) >= width
+), found AS (
+  SELECT p.doc_id, p.i, p.width, v.item_id FROM places p JOIN windows v ON v.width = p.width AND v.words = array_to_string(p.w[p.i:p.i + p.width - 1], ' ')
+), hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + width)) AS place FROM found) GROUP BY doc_id
+), held AS (
+  SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(t.n_items, 0) AS BIGINT) AS n_items,
+       coalesce(t.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN held t ON t.doc_id = d.doc_id
+"""
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks the words of every document that lie in a window of a benchmark item."""
+    return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("spans")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as an image, reads it back and computes features."""
     return media.stored_features(read(spark, sf_dir, "documents"))
@@ -86,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
+    "op5_decontaminate": op5_decontaminate,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
     "op8_language": op8_language,
@@ -93,4 +125,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op9_urls": OP9_SQL}
+ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op9_urls": OP9_SQL}
