@@ -21,6 +21,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -303,12 +304,13 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids_hash.append(hashlib.sha256(data).hexdigest())
             text_hash.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
             if with_ids:
-                all_ids.append(unpack(data))
+                all_ids.append(data)
             if with_text:
                 decoded.append(back)
         columns = {id_col: batch.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(text_hash, pa.string())}
         if with_ids:
-            columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+            values = pa.array(np.frombuffer(b"".join(all_ids), "<i4"), pa.int32())
+            columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), values)
         if with_text:
             columns["decoded"] = pa.array(decoded, pa.string())
         return pa.RecordBatch.from_pydict(columns)

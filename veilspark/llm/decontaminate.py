@@ -110,3 +110,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     none = F.sha2(F.lit(""), 256)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return own.join(marks, "digest", "left").select(id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
+
+
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text holds no window of an item."""
+    windows, _ = windows_of(items, item_col, item_text, size)
+    marked = materialise(occurrences(docs, materialise(windows, "windows"), text_col).select(F.col("digest").alias("_digest")).distinct(), "marked")
+    own = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    return own.join(marked, "_digest", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -278,3 +278,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = materialise(classes.select("_tag", "_first").join(moved, "_tag", "left").select("_tag", F.coalesce("_least", "_first").alias("_component")), "components")
     out = light.join(whole, "_tag", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_component")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, share: int = 90) -> DataFrame:
+    """The rows of docs, all columns as they are, that have the smallest id of their component; of rows repeated with their id, one stays. Different rows with a null id all stay if no row of their component has an id."""
+    found = near_duplicates(docs, id_col, text_col, size, share).select(F.col(id_col).alias("_kept"), "component_id")
+    kept = materialise(found.filter(F.col("_kept").eqNullSafe(F.col("component_id"))).groupBy("_kept").agg(F.count("*").alias("_times")), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")))
+    once = joined.filter("_times = 1").select(*columns)
+    return once.unionByName(joined.filter("_times > 1").select(*columns).dropDuplicates())

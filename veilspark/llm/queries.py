@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm import bpe, decontaminate, language, media, ngramjoin, sharding, toxicity, urlrules, warc
+from veilspark.llm import bpe, decontaminate, language, media, ngramjoin, pagetext, sharding, toxicity, urlrules, warc
 from veilspark.llm.common import crc_class, read
 
 
@@ -18,6 +18,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracts the main text of every page."""
+    return pagetext.extract(read(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a record for every page, normalises the archives and reads them back."""
     members, _ = warc.archive(read(spark, sf_dir, "pages"))
@@ -115,6 +120,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_page_text": op2_page_text,
     "op3_warc": op3_warc,
     "op4_ngram_join": op4_ngram_join,
     "op5_decontaminate": op5_decontaminate,
