@@ -18,12 +18,10 @@ def kind_of(label: Column) -> Column:
 
 
 def alias(kind: Column, ordinal: Column) -> Column:
-    letters = code(ordinal)
-    out = F.concat(kind, letters)
-    for k, form in ALIASES.items():
-        before, after = form.split("{}")
-        out = F.when(kind == k, F.concat(F.lit(before), letters, F.lit(after))).otherwise(out)
-    return out
+    form = F.concat(kind, F.lit("{}"))
+    for k, own in ALIASES.items():
+        form = F.when(kind == k, own).otherwise(form)
+    return F.replace(form, F.lit("{}"), code(ordinal))
 
 
 def extend(findings: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -1,15 +1,269 @@
-"""The registered queries of the text de-identification engine, and the SQL that checks them."""
+"""The registered queries of the text de-identification engine, and the SQL that checks them. Every query runs over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilspark.functions import text as X
+from veilspark.functions import validators as V
+from veilspark.operators import docx, geometry, ledger, mask, ner, shapes
+from veilspark.operators.detect import detect, exploded
+from veilspark.plans.corpus import CASES, Case, idiv
+from veilspark.sources.tables import table, written
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+#: Labels that the driver's documents can't hold, left out where only e-mails and cards are asked for.
+_NOT_HERE = ["NAME", "RRN", "PASSPORT", "BIZNO", "CORPNO", "DRIVER", "ACCOUNT", "PHONE", "CASE", "CAR", "ORG", "ADDRESS", "ADDR_DETAIL"]
+
+
+def query(sql: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _case_query(case: Case) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = table(spark, sf_dir, case.table).select(F.col(case.key).cast("long").alias("doc_id"), F.expr(case.text()).alias("text"))
+        return exploded(detect(docs, skip=case.skip, extra_names=case.extra_names, excluded_names=case.excluded_names)).select("doc_id", "label", "value")
+
+    return run
+
+
+for _name, _case in CASES.items():
+    QUERIES[_name] = _case_query(_case)
+    ORACLES[_name] = _case.oracle()
+
+# --- driver documents ------------------------------------------------------
+
+_MAIL = "[A-Za-z0-9._%+-]{1,64}\\s*@\\s*[A-Za-z0-9.-]{1,255}\\.[A-Za-z]{2,}"
+_LUHN = """
+list_sum([CASE WHEN (16 - i) % 2 = 1 THEN CASE WHEN CAST(v[i] AS INT) * 2 > 9 THEN CAST(v[i] AS INT) * 2 - 9 ELSE CAST(v[i] AS INT) * 2 END ELSE CAST(v[i] AS INT) END FOR i IN range(1, 17)]) % 10 = 0
+"""
+def _found_sql(name: str, key: str, text: str) -> str:
+    return f"""
+SELECT DISTINCT {key} AS doc_id, 'EMAIL' AS label, trim(unnest(regexp_extract_all({text}, '{_MAIL}'))) AS value FROM {name}
+UNION ALL
+SELECT DISTINCT doc_id, 'CARD', v FROM (SELECT {key} AS doc_id, unnest(regexp_extract_all({text}, '[0-9]+')) AS v FROM {name}) WHERE length(v) = 16 AND {_LUHN}
+"""
+
+
+def _email_and_card(docs: DataFrame) -> DataFrame:
+    return detect(docs, skip=_NOT_HERE)
+
+
+@query(_found_sql("documents", "doc_id", "text"))
+def detect_email_card_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(_email_and_card(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "label", "value")
+
+
+@query(_found_sql("pages", "page_id", "html"))
+def detect_email_card_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exploded(_email_and_card(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))).select("doc_id", "label", "value")
+
+
+@query(f"SELECT label, count(*) AS n_values, count(DISTINCT doc_id) AS n_docs FROM ({_found_sql('documents', 'doc_id', 'text')}) GROUP BY label")
+def findings_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = exploded(_email_and_card(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return own.groupBy("label").agg(F.count("*").alias("n_values"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def mask_token_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    masked = mask.mask(_email_and_card(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return masked.select("doc_id", "masked", F.col("n_replaced").cast("long").alias("n_replaced"), F.size("residual").cast("long").alias("n_residual"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES["mask_token_documents"] = mask_token_documents
+
+
+@query("SELECT doc_id, text AS restored, CAST(0 AS BIGINT) AS n_unresolved, CAST(0 AS BIGINT) AS n_residual FROM documents")
+def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = mask.restore(mask.mask(_email_and_card(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+    return back.select("doc_id", "restored", F.size("unresolved").cast("long").alias("n_unresolved"), F.size("residual").cast("long").alias("n_residual"))
+
+
+@query("SELECT conv_id, turn, text AS masked FROM conversations")
+def conversation_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask.mask(_email_and_card(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))).select("conv_id", "turn", "masked")
+
+
+@query("SELECT c_custkey AS doc_id, 'phone' AS shape, CAST(1 AS BIGINT) AS hits, '01…' || repeat('○', 10) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) AS sample FROM customer WHERE c_custkey % 3 = 0 "
+       "UNION ALL SELECT c_custkey, 'number', CAST(1 AS BIGINT), '01…' || repeat('○', 10) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 0 "
+       "UNION ALL SELECT c_custkey, 'case', CAST(1 AS BIGINT), '20…' || repeat('○', 7) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 1")
+def shape_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    four = F.lpad((k % 9000 + 1000).cast("string"), 4, "0")
+    text = F.when(k % 3 == 0, F.concat(F.lit("남은 010-"), four, F.lit("-"), four, F.lit(" 번호"))).when(k % 3 == 1, F.concat(F.lit("남은 2020가합"), four, F.lit(" 번호"))).otherwise("남은 것이 없다")
+    return shapes.scan_shapes(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
+
+
+# --- validators and text functions ------------------------------------------
+
+_ORDER_DIGITS = "lpad(CAST(o_orderkey * 7919 % 10000000000 AS {s}), 10, '0')"
+_BIZ_SQL = " + ".join(f"CAST(substr(d, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate((1, 3, 7, 1, 3, 7, 1, 3, 5)))
+
+
+@query(f"SELECT o_orderkey, (10 - ({_BIZ_SQL} + {idiv('CAST(substr(d, 9, 1) AS INT) * 5', 10)}) % 10) % 10 = CAST(substr(d, 10, 1) AS INT) AS ok FROM (SELECT o_orderkey, {_ORDER_DIGITS.format(s='VARCHAR')} AS d FROM orders)")
+def bizno_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.business_number(F.expr(_ORDER_DIGITS.format(s="STRING"))).alias("ok"))
+
+
+@query(f"SELECT o_orderkey, CAST(substr(d, 3, 2) AS INT) BETWEEN 1 AND 12 AND CAST(substr(d, 5, 2) AS INT) BETWEEN 1 AND 31 AS ok FROM (SELECT o_orderkey, {_ORDER_DIGITS.format(s='VARCHAR')} AS d FROM orders)")
+def rrn_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.resident_number(F.expr(_ORDER_DIGITS.format(s="STRING"))).alias("ok"))
+
+
+@query(f"SELECT o_orderkey, length(replace(d, left(d, 1), '')) > 0 AND NOT regexp_matches(d, '^(01[016789]|02|0[3-6][1-5]|070|050[0-9])') AS ok FROM (SELECT o_orderkey, {_ORDER_DIGITS.format(s='VARCHAR')} AS d FROM orders)")
+def account_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", V.account_number(F.expr(_ORDER_DIGITS.format(s="STRING"))).alias("ok"))
+
+
+@query("SELECT o_orderkey, '번호 ' || CAST(o_orderkey AS VARCHAR) AS folded FROM orders")
+def fullwidth_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = F.translate(F.col("o_orderkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.fold_digits(F.concat(F.lit("번호 "), wide)).alias("folded"))
+
+
+_CODE_SQL = "CASE WHEN k < 26 THEN chr(CAST(65 + k AS INT)) WHEN k < 702 THEN chr(CAST(65 + (k - 26) // 26 AS INT)) || chr(CAST(65 + (k - 26) % 26 AS INT)) ELSE chr(CAST(65 + (k - 702) // 676 % 26 AS INT)) || chr(CAST(65 + (k - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (k - 702) % 26 AS INT)) END"
+
+
+@query(f"SELECT k AS ordinal, {_CODE_SQL} AS code FROM (SELECT c_custkey AS k FROM customer)")
+def base26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), X.code(F.col("c_custkey")).alias("code"))
+
+
+_NAME_OF = "substr('김이박최', CAST({k} % 4 AS INT) + 1, 1) || substr('민수영희철호서연', CAST({k} % 4 AS INT) * 2 + 1, 2)"
+
+
+@query("SELECT c_custkey, substr('김이박최', CAST(c_custkey % 4 AS INT) + 1, 1) || 'OO' AS masked FROM customer")
+def anon_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select("c_custkey", mask.anonymous_name(F.expr(_NAME_OF.format(k="c_custkey"))).alias("masked"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '경기도 OOO ' ELSE 'OOO OOO ' END || repeat('O', length(CAST(c_custkey AS VARCHAR))) AS masked FROM customer")
+def anon_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = F.when(F.col("c_custkey") % 2 == 0, "경기도").otherwise("미정시")
+    return table(spark, sf_dir, "customer").select("c_custkey", mask.anonymous_address(F.concat_ws(" ", place, F.lit("효원로"), F.col("c_custkey").cast("string"))).alias("masked"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '은' ELSE '는' END AS a, CASE WHEN c_custkey % 2 = 0 THEN '으로' ELSE '로' END AS b FROM customer")
+def josa_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.when(F.col("c_custkey") % 2 == 0, "사람").otherwise("나무")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.agree(F.lit("는"), word).alias("a"), X.agree(F.lit("으로"), word).alias("b"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 ELSE 1 END AS exit_code FROM customer")
+def report_exit_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, one, none = F.col("c_custkey") % 4, F.array(F.lit("x")), F.array().cast("array<string>")
+    return table(spark, sf_dir, "customer").select("c_custkey", shapes.exit_code(F.when(k == 0, one).otherwise(none), F.when(k == 3, one).otherwise(none), F.when(k == 1, one).otherwise(none)).alias("exit_code"))
+
+
+@query("SELECT o_custkey AS doc_id, sum(CASE WHEN o_orderkey % 2 = 0 THEN 50 ELSE 700 END) / count(*) < 300 AND avg(CASE WHEN o_orderkey % 3 > 0 THEN 1.0 ELSE 0.0 END) >= 0.5 AS thin FROM orders GROUP BY o_custkey")
+def thin_layer_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("page_no"), F.repeat(F.lit("가"), F.when(k % 2 == 0, 50).otherwise(700)).alias("text"), F.when(k % 3 > 0, 80.0).otherwise(10.0).alias("img_area"), F.lit(100.0).alias("page_area"))
+    return geometry.thin_layer(pages).select("doc_id", "thin")
+
+
+# --- ledger ------------------------------------------------------------------
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.lit(0).alias("pos"), F.when(k % 3 == 0, "ORG").when(k % 3 == 1, "NAME").otherwise("CASE").alias("label"), F.concat(F.lit("값 "), (k % 500).cast("string")).alias("value"))
+
+
+_LEDGER_SQL = f"""
+WITH f AS (SELECT c_custkey AS doc_id, CASE c_custkey % 3 WHEN 0 THEN 'ORG' WHEN 1 THEN 'PERSON' ELSE 'CASE' END AS kind, '값' || CAST(c_custkey % 500 AS VARCHAR) AS norm FROM customer),
+g AS (SELECT kind, norm, min(doc_id) AS doc_id FROM f GROUP BY ALL),
+r AS (SELECT kind, norm, row_number() OVER (PARTITION BY kind ORDER BY doc_id) - 1 AS k FROM g)
+SELECT kind, norm, CASE kind WHEN 'PERSON' THEN '' WHEN 'CASE' THEN '사건' ELSE '' END || {_CODE_SQL} || CASE kind WHEN 'ORG' THEN '사' ELSE '' END AS alias FROM r
+"""
+
+
+@query(_LEDGER_SQL)
+def ledger_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.extend(_people(spark, sf_dir)).select("kind", "norm", "alias")
+
+
+@query(_LEDGER_SQL)
+def ledger_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches by id give the same ledger as one."""
+    people = _people(spark, sf_dir)
+    middle = people.agg(F.expr("(max(doc_id) + min(doc_id)) div 2")).first()[0]
+    first = written(ledger.extend(people.filter(F.col("doc_id") <= middle)), "ledger")
+    return ledger.extend(people.filter(F.col("doc_id") > middle), first).select("kind", "norm", "alias")
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN 'A2' ELSE 'A' END AS mark FROM customer")
+def alias_collision_avoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("c_custkey") % 2 == 0, "갑은 A 라 한다").otherwise("갑은 AB 라 한다")
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), mask.alias_mark(text, F.lit("A")).alias("mark"))
+
+
+# --- geometry, packages, other recognisers, relational --------------------------
+
+
+def _page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select(k.alias("doc_id"), F.lit(1).alias("page_no"), n.alias("word_no"), (n * 10.0).alias("x0"), F.lit(0.0).alias("y0"), (n * 10.0 + 8).alias("x1"), F.lit(10.0).alias("y1"), F.concat(F.lit("값"), n.cast("string")).alias("word"))
+
+
+@query("SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS word_no, l_linenumber * 10.0::DOUBLE AS x0, l_linenumber * 10.0::DOUBLE + 8 AS x1 FROM lineitem l WHERE l_linenumber IN (2, 3) AND (SELECT count(DISTINCT m.l_linenumber) FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_linenumber IN (2, 3)) = 2")
+def word_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _page_words(spark, sf_dir).dropDuplicates(["doc_id", "word_no"])
+    targets = words.select("doc_id").distinct().select("doc_id", F.lit("값2 값3").alias("value"), F.lit(None).cast("string").alias("repl"))
+    return geometry.compact_search(words, targets).select("doc_id", "word_no", "x0", "x1").distinct()
+
+
+@query("SELECT o_orderkey AS doc_id, 1 AS page_no, 0.0::DOUBLE AS x0, CASE WHEN o_orderkey % 2 = 0 THEN 25.0 ELSE 10.0 END::DOUBLE AS x1, CASE WHEN o_orderkey % 2 = 0 THEN 'A' END AS repl FROM orders UNION ALL SELECT o_orderkey, 1, 15.0, 25.0, NULL FROM orders WHERE o_orderkey % 2 = 1")
+def box_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    box = lambda a, b: orders.select(k.alias("doc_id"), F.lit(1).alias("page_no"), F.lit(a).alias("x0"), F.lit(0.0).alias("y0"), F.lit(b).alias("x1"), F.lit(10.0).alias("y1"), F.when(k % 2 == 0, "A").alias("repl"), F.lit(3).alias("vlen"))
+    return geometry.merge(geometry.stitch(box(0.0, 10.0).unionByName(box(15.0, 25.0)))).select("doc_id", "page_no", "x0", "x1", "repl")
+
+
+@query("SELECT c_custkey AS doc_id, CAST(r AS INT) AS run_no, CASE r WHEN 0 THEN '원고 [X]' WHEN 1 THEN '' ELSE '는 ' || CAST(c_custkey AS VARCHAR) END AS text FROM customer, range(3) t(r)")
+def docx_runs_redistribute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = [F.col("c_custkey").alias("doc_id"), F.lit("word/document.xml").alias("part"), F.lit(0).alias("para_no")]
+    customers = table(spark, sf_dir, "customer")
+    listed = F.array(F.lit("원고 김"), F.lit("철"), F.concat(F.lit("수는 "), F.col("c_custkey").cast("string")))
+    rows = customers.select(*key, F.posexplode(listed).alias("run_no", "text"))
+    spans = customers.select(*key, F.lit(3).alias("start"), F.lit(6).alias("stop"), F.lit("[X]").alias("repl"))
+    return docx.redistribute(rows, spans).select("doc_id", "run_no", "text")
+
+
+@query("SELECT c_custkey AS doc_id, 'PERSON' AS label, '김민수' AS value FROM customer WHERE c_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'ADDRESS', '효원로 1' FROM customer WHERE c_custkey % 4 = 3")
+def ner_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey") % 4
+    docs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(k == 3, "곳은 효원로 1").otherwise("오늘 김민수").alias("text"))
+    evidence = F.when(k == 1, F.array(F.lit("pos:surname"))).otherwise(F.array(F.lit("pos:surname"), F.lit("pos:name_final_syllable")))
+    hits = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.when(k == 3, "ADDRESS").otherwise("PERSON").alias("label"), F.lit(3).alias("start"), F.when(k == 3, 8).otherwise(6).alias("end"), F.when(k == 2, 0.5).otherwise(0.9).alias("confidence"), evidence.alias("evidence"))
+    return ner.accept_hits(docs, hits).select("doc_id", F.inline("ner"))
+
+
+@query("SELECT CASE o_orderkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS label, o_orderkey AS doc_id FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) <= 3")
+def top_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three of each label: a report's samples, by a bounded aggregate."""
+    k = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(F.when(k % 3 == 0, "A").when(k % 3 == 1, "B").otherwise("C").alias("label"), k.alias("doc_id"))
+    # Ranks are computed within salted pieces first, so that a hot label doesn't meet in one task.
+    piece = Window.partitionBy("label", F.pmod(F.xxhash64("doc_id"), F.lit(64))).orderBy("doc_id")
+    few = own.withColumn("r", F.row_number().over(piece)).filter("r <= 3").drop("r")
+    return few.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("doc_id"))).filter("r <= 3").drop("r")
+
+
+@query("SELECT lower(w) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents) WHERE lower(w) NOT IN ('the', 'of', 'and', 'to', 'in') GROUP BY lower(w)")
+def stop_word_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    stop = spark.createDataFrame([(w,) for w in ("the", "of", "and", "to", "in")], "word string")
+    return words.join(F.broadcast(stop), "word", "left_anti").groupBy("word").agg(F.count("*").alias("n"))
