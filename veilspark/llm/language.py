@@ -24,9 +24,9 @@ from veilspark.llm.common import crc_class, map_arrow
 from veilspark.llm.words import WordTable, words_of
 
 #: The fit uses about so many labelled rows of a language at most, by a hash of the id, of at most so many characters, and of so many languages.
-FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 500, 20_000, 64
+FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 64
 #: Size of the hashed n-gram space.
-GRAMS = 1 << 13
+GRAMS = 1 << 12
 
 # Language families by ISO 639-1 code; a code that isn't listed is a family of its own.
 FAMILIES = {
@@ -158,9 +158,12 @@ def fit(texts: list[str], languages: list[str], seed: int = 11) -> Languages | N
             aside.append(k % 5 == 4)
     if not rows:
         return None
-    x = np.vstack(rows)
-    scale = np.float32(1) / np.sqrt(x.mean(axis=0) + np.float32(1e-5))
-    x = np.hstack([x * scale, np.ones((len(x), 1), np.float32)])
+    x = np.ones((len(rows), GRAMS + 1), np.float32)
+    for k, own in enumerate(rows):
+        x[k, :-1] = own
+    rows.clear()
+    scale = np.float32(1) / np.sqrt(x[:, :-1].mean(axis=0) + np.float32(1e-5))
+    x[:, :-1] *= scale
     labels, aside = np.array(labels), np.array(aside)
     known = sorted(set(labels))
     by_family = defaultdict(list)

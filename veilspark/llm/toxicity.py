@@ -28,7 +28,7 @@ from veilspark.llm.common import crc_class, map_arrow
 from veilspark.llm.words import WORD, WordTable, slices, words_of
 
 #: The fit uses about so many labelled rows at most, taken by a hash of the id ...
-FIT_ROWS = 4000
+FIT_ROWS = 2500
 #: ... among texts of at most so many characters.
 FIT_CHARS = 40_000
 #: Size of the hashed weight table.
