@@ -13,7 +13,7 @@ from veilspark.functions import text
 from veilspark.functions.text import cuts, first_of, strip
 from veilspark.operators.names import NAME_RULES, NER_RULE, USER_RULE, NameRule, rule_names, stands_alone
 from veilspark.operators.rules import FINDINGS, RULES, Rule, checked_labels, rule_findings
-from veilspark.sources.tables import barrier
+from veilspark.sources.tables import barrier, written
 
 
 def _none() -> Column:
@@ -84,8 +84,13 @@ def detect(docs: DataFrame, text_col: str = "text", skip: Sequence[str] = (), ex
 
 
 def exploded(found: DataFrame, id_col: str = "doc_id", findings_col: str = "findings") -> DataFrame:
-    """A row for each finding: id_col, rule_no, pos, label, value."""
-    return found.select(id_col, F.inline(findings_col))
+    """A row for each finding: id_col, rule_no, pos, label, value.
+
+    Documents with findings are written first: what follows reads those few rows, and the optimizer doesn't carry the rules' expressions
+    into filters and joins above.
+    """
+    own = written(found.select(id_col, findings_col), "findings")
+    return own.filter(F.size(findings_col) > 0).select(id_col, F.inline(findings_col))
 
 
 def labels_of(findings: Column) -> Column:
