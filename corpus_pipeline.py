@@ -20,6 +20,8 @@ from veilspark.llm.common import materialise, read
 MOST_TOXIC = 0.5
 #: A document's language score below which it goes, as do documents without letters.
 LEAST_LANGUAGE = 0.3
+#: Near-duplicates share at least so many percent of their shingles of so many words (op4's 3 words and 90 % bind that query only).
+NEAR_WORDS, NEAR_SHARE = 5, 80
 
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, str, str], DataFrame], keep: str) -> DataFrame:
@@ -44,7 +46,7 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    return ngramjoin.one_of_each(docs)
+    return ngramjoin.one_of_each(docs, size=NEAR_WORDS, share=NEAR_SHARE)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

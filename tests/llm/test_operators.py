@@ -109,6 +109,17 @@ def test_ngram_join_is_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in got.values()}) and kept.columns == df.columns
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    text = [f"v{k}" for k in range(54)]
+    near = [*text[:27], "other", *text[28:]]  # 5 words: 45/55, 3 words: 49/55
+    far = [*text[:15], "one", *text[16:35], "two", *text[36:]]  # 5 words: 40/60
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([text, near, far])] + [(3, None)], "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 def test_decontamination_is_brute_force(spark):
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefgh") + rng.choice("xyz")
