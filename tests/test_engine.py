@@ -48,6 +48,25 @@ def test_detection(found):
         assert rows[i] == want, text and text[:80]
 
 
+def test_queries_over_tables_look_for_every_label(spark, tmp_path):
+    from veilspark.plans import catalogue
+
+    held = {1: ("PHONE", "(017) 555-7713"), 2: ("PHONE", "0411590525"), 3: ("EMAIL", "a.b@example.com"), 4: ("NAME", "김철수"), 5: ("RRN", "880101-1234567")}
+    texts = {0: "nothing", 1: "call (017) 555-7713 now", 2: "id 0411590525 end", 3: "to a.b@example.com", 4: "원고 김철수는", 5: "번호 880101-1234567", 6: None}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    rows.toDF("page_id", "html").write.parquet(f"{tmp_path}/pages.parquet")
+    rows.select(F.col("doc_id").alias("conv_id"), F.lit(0).alias("turn"), "text").write.parquet(f"{tmp_path}/conversations.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    for name in ("detect_documents", "detect_pages"):
+        assert {(r.doc_id, (r.label, r.value)) for r in run(name)} == set(held.items())
+    assert {(r.label, r.n_values, r.n_docs) for r in run("findings_by_every_label")} == {("PHONE", 2, 2), ("EMAIL", 1, 1), ("NAME", 1, 1), ("RRN", 1, 1)}
+    masked = {r.doc_id: r for r in run("mask_token_documents")} | {f"c{r.conv_id}": r for r in run("conversation_mask")}
+    for i, (_, value) in held.items():
+        assert value not in masked[i].masked and masked[i].n_replaced == 1 and value not in masked[f"c{i}"].masked
+    assert all(r.restored == texts[r.doc_id] and r.n_unresolved == r.n_residual == 0 for r in run("restore_roundtrip"))
+
+
 def test_mask_and_restore(found):
     for r in mask.restore(mask.mask(found)).collect():
         assert r.restored == r.text and r.residual == [] and r.unresolved == []
