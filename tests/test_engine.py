@@ -48,6 +48,16 @@ def test_detection(found):
         assert rows[i] == want, text and text[:80]
 
 
+def test_name_chains_go_on_to_their_end(spark):
+    names = [a + b + c for a in "김이박최정" for b in "민수영" for c in "철호준혁"]
+    texts = ["원고 " + ", ".join(names) + "에게는", "원고 김철수, 이영희에게는", "원고 김철수, 선우정밀 산업에서", "피고 김철수, 박민수\n원고 이영희, 최준호", "원고 " + ", ".join(names[:30]) + ", 피고인, 정호준"]
+    rows = {r.doc_id: r for r in mask.mask(written(detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "chains")).collect()}
+    found = lambda i: [f.value for f in rows[i].findings]
+    assert len(names) == 60 and found(0) == names and not any(n in rows[0].masked for n in names)
+    assert found(1) == ["김철수", "이영희"] and found(2) == ["김철수"] and sorted(found(3)) == sorted(["김철수", "박민수", "이영희", "최준호"])
+    assert found(4) == names[:30]
+
+
 def test_queries_over_tables_look_for_every_label(spark, tmp_path):
     from veilspark.plans import catalogue
 
