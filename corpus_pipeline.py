@@ -39,8 +39,10 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language can't be told."""
+    """Rejects documents without letters and those whose language can't be told; without any usable label, only the former."""
     machines = language.fitted(docs)
+    if machines is None:
+        return docs.filter(F.col("text").rlike(language.LETTER))
     return _kept(docs, lambda d, i, t: language.identify(d, machines, i, t, keep=True), f"lang_pred <> 'und' AND score >= {LEAST_LANGUAGE}")
 
 

@@ -205,6 +205,22 @@ def test_language_learns_and_rejects(spark):
     assert language.identify(df, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_is_learnt_and_none_rejects_all(spark):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    own = {f"x{k}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{c}" for c in "aeiou"] for k in range(70)} | {"long": ["qqq", "qzq", "zqz"]}
+    texts = [(k, " ".join(rng.choice(v) for _ in range(6000 if k == "long" else 20))) for k, v in own.items() for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    machines = language.fitted(docs)
+    assert {c for w in machines.within for c in w.classes} == set(own) and min(len(t) for k, t in texts if k == "long") > language.FIT_CHARS
+    rows = {r.doc_id: r.lang_pred for r in language.identify(docs, machines).collect()}
+    assert sum(rows[i] == k for i, (k, _) in enumerate(texts)) >= 0.95 * len(texts) and all(rows[i] == "long" for i, (k, _) in enumerate(texts) if k == "long")
+    bare = odd_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.in_a_language(spark, bare, "").collect()
+    assert [r.text for r in kept] == [t for t in ODD if t and t.strip()] and kept[0].asDict().keys() == set(bare.columns)
+
+
 def test_toxicity_learns_spans(spark):
     rng = random.Random(6)
     fine = [f"w{''.join(rng.choice('abcdefg') for _ in range(4))}" for _ in range(200)]

@@ -23,8 +23,12 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import crc_class, map_arrow
 from veilspark.llm.words import WordTable, words_of
 
-#: The fit uses about so many labelled rows of a language at most, by a hash of the id, of at most so many characters, and of so many languages.
-FIT_ROWS, FIT_CHARS, FIT_LANGUAGES = 400, 20_000, 64
+#: The fit learns every language; of each, it uses about so many labelled rows at most, by a hash of the id, and so many in all (but LEAST_ROWS of each).
+FIT_ROWS, FIT_ALL, LEAST_ROWS = 400, 25_600, 40
+#: Words that are drawn from a whole text, words of the run that stands for a short one, and most characters of either.
+FIT_WORDS, FIT_RUN, FIT_CHARS = 200, 6, 20_000
+#: Whether a text has letters, for Spark.
+LETTER = r"\p{L}"
 #: Size of the hashed n-gram space.
 GRAMS = 1 << 12
 
@@ -58,28 +62,62 @@ def grams(word: str) -> list[int]:
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) & (GRAMS - 1) for p in parts]
 
 
-def vector(words: list[str]) -> np.ndarray:
-    """The mean n-gram vector of words, each word counting alike."""
-    out = np.zeros(GRAMS, np.float32)
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def vector(words: list[str]) -> Sparse:
+    """The mean n-gram vector of words, each word counting alike: n-grams that occur, and their values."""
+    found = [grams(w) for w in words]
+    shares = np.repeat([1 / (len(g) * max(1, len(words))) for g in found], [len(g) for g in found])
+    places, at = np.unique(np.fromiter(itertools.chain.from_iterable(found), np.int32, len(shares)), return_inverse=True)
+    return places, np.bincount(at, shares, len(places)).astype(np.float32)
+
+
+def excerpts(text: str, seed: int = 11) -> tuple[list[str], list[str]]:
+    """Words drawn from a whole text, in order, and a run of a few; both empty if it has no words."""
+    n = sum(len(part) for part in words_of(text))
+    if n == 0:
+        return [], []
+    rng = np.random.default_rng([seed, zlib.crc32(text.encode("utf-8", "surrogatepass"))])
+    at = int(rng.integers(0, max(1, n - FIT_RUN + 1)))
+    drawn = np.arange(n) if n <= FIT_WORDS else np.sort(rng.choice(n, FIT_WORDS, replace=False, shuffle=False))
+    sample, run, first = [], [], 0
+    for part in words_of(text):
+        own = drawn[np.searchsorted(drawn, first) : np.searchsorted(drawn, first + len(part))]
+        sample += [part[i - first] for i in own]
+        run += part[max(0, at - first) : max(0, at + FIT_RUN - first)]
+        first += len(part)
+    return _bounded(sample), _bounded(run)
+
+
+def _bounded(words: list[str]) -> list[str]:
+    """Words up to FIT_CHARS characters in all; the one that goes beyond is cut."""
+    out, left = [], FIT_CHARS
     for w in words:
-        own = grams(w)
-        np.add.at(out, own, np.float32(1 / len(own)))
-    return out / max(1, len(words))
+        if left <= 0:
+            break
+        out.append(w[:left])
+        left -= len(w)
+    return out
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 40.0, rounds: int = 15, seed: int = 3) -> np.ndarray:
-    """A linear support vector machine (hinge loss) by dual coordinate descent; x holds a constant column. y: -1 or 1."""
+def train_machine(x: list[Sparse], y: np.ndarray, cost: float = 40.0, rounds: int = 15, seed: int = 3) -> np.ndarray:
+    """A linear support vector machine (hinge loss) by dual coordinate descent; the last weight is of a constant 1. y: -1 or 1."""
     rng = np.random.default_rng(seed)
-    w, alpha, norms = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), (x * x).sum(axis=1)
+    w, constant, alpha = np.zeros(GRAMS, np.float32), 0.0, np.zeros(len(x))
+    norms = np.array([float(v @ v) + 1 for _, v in x])
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     for _ in range(rounds):
         for i in rng.permutation(len(x)):
-            slope = y[i] * float(x[i] @ w) - 1
+            places, values = x[i]
+            slope = y[i] * (float(values @ w[places]) + constant) - 1
             new = min(max(alpha[i] - slope / norms[i], 0.0), most[i])
             if new != alpha[i]:
-                w += np.float32((new - alpha[i]) * y[i]) * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[places] += np.float32(step) * values
+                constant += step
                 alpha[i] = new
-    return w
+    return np.append(w, np.float32(constant))
 
 
 @dataclass
@@ -144,26 +182,25 @@ class Languages:
 
 def fit(texts: list[str], languages: list[str], seed: int = 11) -> Languages | None:
     """Fits machines on labelled texts; besides each whole text, a few of its words count as a text, as many texts are short."""
-    rng = np.random.default_rng(seed)
-    rows, labels, aside = [], [], []
-    for k, (text, language) in enumerate(zip(texts, languages, strict=True)):
-        words = [w for part in words_of(text) for w in part]
-        if not words:
-            continue
-        at = int(rng.integers(0, max(1, len(words) - 5)))
-        sample = words if len(words) <= 200 else [words[i] for i in np.sort(rng.choice(len(words), 200, replace=False))]
-        for part in (sample, words[at : at + 6]):
-            rows.append(vector(part))
-            labels.append(language)
-            aside.append(k % 5 == 4)
-    if not rows:
+    return fit_excerpts([excerpts(t, seed) for t in texts], languages)
+
+
+def fit_excerpts(drawn: list[tuple[list[str], list[str]]], languages: list[str]) -> Languages | None:
+    """fit() from what excerpts() draws of each text. Rows are kept sparse, so memory goes by the words of the sample."""
+    x, labels, aside = [], [], []
+    for k, (parts, language) in enumerate(zip(drawn, languages, strict=True)):
+        for part in parts:
+            if part:
+                x.append(vector(part))
+                labels.append(language)
+                aside.append(k % 5 == 4)
+    if not x:
         return None
-    x = np.ones((len(rows), GRAMS + 1), np.float32)
-    for k, own in enumerate(rows):
-        x[k, :-1] = own
-    rows.clear()
-    scale = np.float32(1) / np.sqrt(x[:, :-1].mean(axis=0) + np.float32(1e-5))
-    x[:, :-1] *= scale
+    scale = np.zeros(GRAMS)
+    for places, values in x:
+        scale[places] += values
+    scale = (1 / np.sqrt(scale / len(x) + 1e-5)).astype(np.float32)
+    x = [(places, values * scale[places]) for places, values in x]
     labels, aside = np.array(labels), np.array(aside)
     known = sorted(set(labels))
     by_family = defaultdict(list)
@@ -180,11 +217,13 @@ def fit(texts: list[str], languages: list[str], seed: int = 11) -> Languages | N
             if not (own[a] & pick).any() or not (own[b] & pick).any():
                 pick = own[a] | own[b]
             columns.append(len(weights))
-            weights.append(train_machine(x[pick], np.where(own[a][pick], 1, -1)))
+            weights.append(train_machine([x[i] for i in np.flatnonzero(pick)], np.where(own[a][pick], 1, -1)))
         made = Contest(list(classes), pairs, columns)
         test = np.logical_or.reduce(own) & aside
         if pairs and test.any():
-            won, margin = made.decide(x[test] @ np.stack(weights).T)
+            stacked = np.stack(weights[columns[0] :]).T
+            values = np.stack([v @ stacked[p] + stacked[-1] for p, v in (x[i] for i in np.flatnonzero(test))])
+            won, margin = Contest(made.classes, pairs, list(range(len(pairs)))).decide(values)
             right = np.array(classes)[won] == of[test]
             made.slope = _calibrated(margin, right)
         return made
@@ -207,22 +246,32 @@ def _calibrated(margin: np.ndarray, right: np.ndarray) -> tuple[float, float]:
     return max(0.5, float(w[0])), float(w[1])
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> tuple[list[str], list[str]]:
-    """At most about `rows` texts of each of the most frequent languages, outside the held-out class."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter(F.col("_lang").isNotNull() & (crc_class("_id", 4) != 2))
-    counts = own.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(FIT_LANGUAGES).collect()
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS) -> tuple[list[tuple[list[str], list[str]]], list[str]]:
+    """Excerpts of at most about `rows` texts of every language (one at least), outside the held-out class."""
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
+    # Texts without letters teach nothing, so they don't count.
+    own = own.filter(F.col("_lang").isNotNull() & F.col("_text").rlike(LETTER) & (crc_class("_id", 4) != 2)).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(1_000_000)))
+    counts = own.groupBy("_lang").agg(F.count("*").alias("n"), F.min("_part").alias("least")).collect()
     if not counts:
         return [], []
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("_lang") == r["_lang"], F.lit(int(np.ceil(min(1.0, rows / r["count"]) * 1_000_000)))).otherwise(share)
-    picked = own.filter(F.col("_text").isNotNull() & (F.length("_text") <= FIT_CHARS) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share)).select("_text", "_lang").toArrow()
-    order = sorted(zip(picked["_text"].to_pylist(), picked["_lang"].to_pylist(), strict=True), key=lambda p: zlib.crc32(p[0].encode("utf-8", "surrogatepass")))
-    return [t for t, _ in order], [v for _, v in order]
+    rows = min(rows, max(LEAST_ROWS, FIT_ALL // len(counts)))
+    shares = [(r["_lang"], max(int(np.ceil(min(1.0, rows / r["n"]) * 1_000_000)), r["least"] + 1)) for r in counts]
+    shares = docs.sparkSession.createDataFrame(shares, "_lang string, _share long")
+    picked = own.join(F.broadcast(shares), "_lang").filter("_part < _share").select("_text", "_lang")
+
+    def draw(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(0).to_pylist()
+        drawn = [excerpts(t) for t in texts]
+        order = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
+        words = pa.list_(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in drawn], words), pa.array([d[1] for d in drawn], words), pa.array(order, pa.int64()), batch.column(1)], ["sample", "run", "at", "lang"])
+
+    found = map_arrow(picked, draw, "sample array<string>, run array<string>, at long, lang string").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    return list(zip(found["sample"].to_pylist(), found["run"].to_pylist(), strict=True)), found["lang"].to_pylist()
 
 
 def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages | None:
-    return fit(*labelled_sample(docs, id_col, text_col, lang_col))
+    return fit_excerpts(*labelled_sample(docs, id_col, text_col, lang_col))
 
 
 _TABLES: dict[int, WordTable] = {}
@@ -251,7 +300,8 @@ def identify(docs: DataFrame, machines: Languages | None, id_col: str = "doc_id"
                 n = 0
                 for words in words_of(text or ""):
                     if words:
-                        means[i] += table.of(words).sum(axis=0, dtype=np.float64)
+                        for k in range(0, len(words), table.step):
+                            means[i] += table.of(words[k : k + table.step]).sum(axis=0, dtype=np.float64)
                         n += len(words)
                 means[i] /= max(1, n)
             lettered = np.flatnonzero(means[:, -1] > 0)

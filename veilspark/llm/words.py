@@ -9,8 +9,10 @@ import numpy as np
 
 #: Most characters whose words are listed at once.
 SLICE_CHARS = 1 << 20
-#: Most distinct words that a worker keeps values of; beyond, it starts anew.
-KEPT_WORDS = 400_000
+#: Most distinct words, and values of them, that a worker keeps; beyond, it starts anew.
+KEPT_WORDS, KEPT_VALUES = 400_000, 1 << 26
+#: Words times values that are looked up at once, about.
+STEP_VALUES = 1 << 19
 
 WORD = re.compile(r"[^\W\d_]+")
 _BREAK = re.compile(r"[\W\d_]")
@@ -38,6 +40,8 @@ class WordTable:
 
     def __init__(self, values: Callable[[list[str]], np.ndarray], width: int):
         self._values, self._width = values, width
+        #: Words whose values are looked up at once.
+        self.step = max(64, min(20_000, STEP_VALUES // width))
         self._start()
 
     def _start(self) -> None:
@@ -46,7 +50,7 @@ class WordTable:
 
     def renew(self) -> None:
         """To be called between texts: drops what is kept once it is too much."""
-        if len(self._rows) > KEPT_WORDS:
+        if len(self._rows) > min(KEPT_WORDS, KEPT_VALUES // self._width):
             self._start()
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -58,8 +62,8 @@ class WordTable:
                 grown = np.zeros((max(m, 2 * len(self._matrix)), self._width), np.float32)
                 grown[:n] = self._matrix[:n]
                 self._matrix = grown
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
+            for k in range(0, len(new), self.step):
+                part = new[k : k + self.step]
                 self._matrix[n + k : n + k + len(part)] = self._values(part)
             known.update(zip(new, range(n, m), strict=True))
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
