@@ -27,12 +27,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import STEP_CHARS, map_arrow
+from veilspark.llm.common import STEP_CHARS, Generations, kept, map_arrow
 
-#: Most white-space-free pieces whose encodings a worker keeps; beyond, it starts anew.
-KEPT_PIECES = 500_000
-#: Most token pairs whose boundary test a worker keeps.
-KEPT_PAIRS = 1_000_000
+#: Bytes of white-space-free pieces with their encodings that a worker keeps, about.
+KEPT_BYTES = 64 << 20
+#: Most token pairs whose boundary test a worker keeps (about 100 bytes each).
+KEPT_PAIRS = 250_000
 #: Most distinct words in a trie at once.
 TRIE_WORDS = 20_000
 
@@ -89,7 +89,7 @@ class WordBpe:
         self._starts = {s[:k] for tokens in (self._inner, self._final) for s in tokens for k in range(1, len(s) + 1)}
         self._size = {t: len(s) for tokens in (self._inner, self._final) for s, t in tokens.items()}
         self._holds: dict[int, bool] = {}
-        self._pieces: dict[str, tuple[bytes, str]] = {}
+        self._pieces = Generations(KEPT_BYTES, 320, 8)
 
     def _boundary_holds(self, left: int, right: int, until: int = 1 << 40) -> bool:
         """Whether no merge before `until` crosses the boundary between two adjacent tokens, when their merges are undone latest first."""
@@ -187,24 +187,22 @@ class WordBpe:
         return words if piece.isascii() else [w.encode("utf-8", "surrogatepass").decode("latin-1") for w in words]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encodes and decodes pieces that aren't kept yet, a bounded trie at a time."""
-        kept = self._pieces
+        """Encodes and decodes distinct pieces that aren't kept yet, a bounded trie at a time."""
         waiting: dict[str, list[str]] = {}
         words: set[str] = set()
-        for piece in pieces:
-            if piece not in kept:
-                waiting[piece] = own = self._normal_words(piece)
-                words.update(own)
-                if len(words) >= TRIE_WORDS:
-                    self._settle(waiting, words)
-                    waiting, words = {}, set()
+        for piece in self._pieces.absent(pieces):
+            waiting[piece] = own = self._normal_words(piece)
+            words.update(own)
+            if len(words) >= TRIE_WORDS:
+                self._settle(waiting, words)
+                waiting, words = {}, set()
         self._settle(waiting, words)
 
     def _settle(self, waiting: dict[str, list[str]], words: set[str]) -> None:
         found = self.encode_words(words)
         for piece, own in waiting.items():
             ids = [i for w in own for i in found[w]]
-            self._pieces[piece] = pack(ids), self.decode(ids)
+            self._pieces.put(piece, (pack(ids), self.decode(ids)))
 
     def pieces(self, text: str) -> list[str | int]:
         """A text's white-space-free pieces in order; special tokens as their ids."""
@@ -239,8 +237,6 @@ class WordBpe:
                 step.append(self.pieces(texts[at]))
                 size += len(texts[at])
                 at += 1
-            if len(self._pieces) > KEPT_PIECES:
-                self._pieces.clear()
             self.learn({p for own in step for p in own if type(p) is str})
             kept = self._pieces
             for own in step:
@@ -268,18 +264,6 @@ def unpack(data: bytes) -> list[int]:
     return ids.tolist()
 
 
-_LOADED: dict[bytes, WordBpe] = {}
-
-
-def loaded(source: bytes) -> WordBpe:
-    """One encoder for each vocabulary and worker, which keeps what it has encoded from task to task."""
-    key = hashlib.sha256(source).digest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(source)
-    return _LOADED[key]
-
-
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Encodes and decodes every text: id_col, n_tokens, ids_sha256, decoded_sha256; with_ids adds ids (array of int), with_text adds decoded.
 
@@ -291,11 +275,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
     if len(source) > 64 << 20:
         raise ValueError("a vocabulary of more than 64 MB isn't broadcast")
     WordBpe(source)
-    held = docs.sparkSession.sparkContext.broadcast(source)
+    held, key = docs.sparkSession.sparkContext.broadcast(source), f"bpe {hashlib.sha256(source).hexdigest()}"
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = loaded(held.value)
+        bpe = kept(key, lambda: WordBpe(held.value))
         n, ids_hash, text_hash, all_ids, decoded = [], [], [], [], []
         for parts in bpe.packed_all([t or "" for t in batch.column(1).to_pylist()]):
             data = b"".join([p[0] for p in parts])

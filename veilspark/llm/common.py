@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes of one Arrow batch that goes to a Python worker.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Most characters of text that one step of a Python operator holds at once (one longer text is a step of its own).
-STEP_CHARS = 4 << 20
+STEP_CHARS = 2 << 20
+#: About the bytes that a dict entry, a short string and a small object take, beside the characters of the string.
+ENTRY_BYTES = 200
+
+_SLOT: list = [None, None]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +51,51 @@ def materialise(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a worker keeps from one task to the next: a single thing, so that operators which share a worker don't add up. Another key's goes first."""
+    if _SLOT[0] != key:
+        _SLOT[:] = [None, None]
+        trim()
+        _SLOT[:] = [key, make()]
+    return _SLOT[1]
+
+
+def trim() -> None:
+    """Gives memory that is free within this process back to the system, as far as its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+class Generations(dict):
+    """A cache of strings bounded in bytes: once the young half is full, it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, most_bytes: int, entry: int = ENTRY_BYTES, per_character: int = 1):
+        super().__init__()
+        self._most, self._entry, self._per_character, self._bytes, self._old = most_bytes // 2, entry, per_character, 0, {}
+
+    def absent(self, keys: Iterable) -> list:
+        """The keys that neither half holds, to be put next; all others are in the young half afterwards. Halves change in this call only."""
+        if self._bytes > self._most:
+            self._old, self._bytes = dict(self), 0
+            self.clear()
+        out, old = [], self._old
+        for k in keys:
+            if k not in self:
+                if (found := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    self.put(k, found)
+        return out
+
+    def put(self, key: str | bytes, value: Any) -> None:
+        self[key] = value
+        self._bytes += self._entry + len(key) * self._per_character
+
+
 def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow by record batch."""
     bounded_batches(df.sparkSession)
@@ -52,6 +104,7 @@ def map_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
         for batch in batches:
             if (out := function(batch)) is not None:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

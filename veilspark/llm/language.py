@@ -11,6 +11,7 @@ Null texts and texts without letters get `und` and score 0. Without any labelled
 from __future__ import annotations
 
 import itertools
+import uuid
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import crc_class, map_arrow
+from veilspark.llm.common import crc_class, kept, map_arrow
 from veilspark.llm.words import WordTable, words_of
 
 #: The fit learns every language; of each, it uses about so many labelled rows at most, by a hash of the id, and so many in all (but LEAST_ROWS of each).
@@ -274,12 +275,9 @@ def fitted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return fit_excerpts(*labelled_sample(docs, id_col, text_col, lang_col))
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def identify(docs: DataFrame, machines: Languages | None, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Predicts every text's language: id_col, lang_pred, score; keep: all columns of docs besides (a clashing one isn't kept)."""
-    held = docs.sparkSession.sparkContext.broadcast(machines)
+    held, key = docs.sparkSession.sparkContext.broadcast(machines), f"languages {uuid.uuid4().hex}"
     names = [c for c in docs.columns if c not in ("lang_pred", "score", text_col)] + [text_col] if keep else [id_col, text_col]
     docs = docs.select(*(F.col(f"`{c}`") for c in names))
     out = names if keep else [id_col]
@@ -290,11 +288,7 @@ def identify(docs: DataFrame, machines: Languages | None, id_col: str = "doc_id"
         texts = batch.column(len(names) - 1).to_pylist()
         languages, scores = ["und"] * len(texts), np.zeros(len(texts))
         if machines is not None:
-            if id(machines) not in _TABLES:
-                _TABLES.clear()
-                _TABLES[id(machines)] = WordTable(machines.values, machines.weights.shape[1] + 1)
-            table = _TABLES[id(machines)]
-            table.renew()
+            table = kept(key, lambda: WordTable(machines.values, machines.weights.shape[1] + 1))
             means = np.zeros((len(texts), machines.weights.shape[1] + 1))
             for i, text in enumerate(texts):
                 n = 0

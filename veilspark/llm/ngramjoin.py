@@ -30,21 +30,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veilspark.llm.common import bounded_batches, materialise
+from veilspark.llm.common import Generations, bounded_batches, kept, materialise, trim
 from veilspark.llm.components import components
 
 #: Postings of a step of a task, and of a fragment, about.
-STEP_POSTINGS, FRAGMENT_POSTINGS = 2_000_000, 4_000_000
+STEP_POSTINGS, FRAGMENT_POSTINGS = 1_000_000, 4_000_000
 #: Least number of fragments, and the fragments in which overlaps of pairs are counted.
 LEAST_FRAGMENTS, PAIR_FRAGMENTS = 32, 4
+#: Ranges of keys in which a fragment is counted, a power of two.
+PASSES = 4
 #: 64-bit words of a parity sketch.
 SKETCH = 8
 #: Sets that are left are told by a broadcast up to so many (16 bytes each), else by a shuffle.
 BROADCAST_SETS = 500_000
-#: Most distinct words whose hashes a worker keeps; bytes of text that are split at once.
-KEPT_WORDS, SLICE = 500_000, 4 << 20
+#: Bytes of distinct words whose hashes a worker keeps, about; bytes of text that are split at once.
+KEPT_BYTES, SLICE = 64 << 20, 4 << 20
 
-_WORDS: dict[bytes, int] = {}
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _GAP = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -58,12 +59,9 @@ def _word_hashes(text: str) -> np.ndarray:
             gap = _GAP.search(data, at + SLICE)
             end = gap.start() if gap else end
         words = (data[at:end] if at or end < len(data) else data).split()
-        known = _WORDS
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
+        known = kept("ngramjoin", lambda: Generations(KEPT_BYTES))
+        for w in known.absent(dict.fromkeys(words)):
+            known.put(w, xxhash.xxh3_64_intdigest(w))
         parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
         at = max(end, at + 1)
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -147,30 +145,33 @@ def _postings(docs: DataFrame, size: int, bits: int) -> DataFrame:
                         held, n = {}, 0
         if held:
             yield _packed([int.from_bytes(t[:8], "big") for t in held], list(held.values()), bits)
+        held.clear()
+        trim()
 
     return docs.select("_text").mapInArrow(run, "fragment int, tags binary, single binary, several binary, keys binary, known binary")
 
 
 def _shared_in_fragment(table: pa.Table) -> pa.Table:
-    """How many shingles of each set occur in other sets too, in one fragment (for copies in several steps never too few)."""
+    """How many shingles of each set occur in other sets too, in one fragment (for copies in several steps never too few). Keys are looked at in PASSES ranges, one after another."""
     read = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
     tags, single, several = read("tags", np.uint64), read("single", np.uint32), read("several", np.uint32)
-    keys, known = read("keys", np.uint32), np.unique(read("known", np.uint32))
-    owners = np.repeat(tags, single)
-    order = np.lexsort((owners, keys))
-    keys, owners = keys[order], owners[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    keys, owners = keys[first], owners[first]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(new) - 1
-    many = (np.bincount(group) > 1)[group] if len(group) else np.zeros(0, bool)
-    many |= np.isin(keys, known)
+    all_keys, all_known = read("keys", np.uint32), np.unique(read("known", np.uint32))
     distinct, at = np.unique(tags, return_inverse=True)
     most = np.zeros(len(distinct), np.int64)
     np.maximum.at(most, at, several.astype(np.int64))
-    most += np.bincount(np.searchsorted(distinct, owners[many]), minlength=len(distinct))
+    all_owners = np.repeat(at.astype(np.uint32), single)
+    for turn in range(PASSES):
+        own = np.flatnonzero((all_keys >> np.uint32(32 - PASSES.bit_length() + 1)) == turn)
+        # Key and owner in one number: sorted and distinct.
+        pairs = np.unique(all_keys[own].astype(np.uint64) << np.uint64(32) | all_owners[own])
+        keys, owners = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        many = ~(new & np.append(new[1:], True))
+        many |= np.isin(keys, all_known)
+        most += np.bincount(owners[many], minlength=len(distinct))
+    del all_keys, all_owners, pairs
+    trim()
     keep = most > 0
     return pa.table({"tag": pa.array(distinct[keep].view(np.int64), pa.int64()), "shared": pa.array(most[keep], pa.int64())})
 

@@ -15,6 +15,7 @@ any usable label, all scores are 0; with labels of one class, all scores are tha
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import crc_class, map_arrow
+from veilspark.llm.common import crc_class, kept, map_arrow
 from veilspark.llm.words import WORD, WordTable, slices, words_of
 
 #: The fit uses about so many labelled rows at most, taken by a hash of the id ...
@@ -215,44 +216,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return [t for t, _ in order], [int(bool(y)) for _, y in order]
 
 
-_TABLES: dict[int, WordTable] = {}
-
-
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """Scores every text: id_col, score, spans (start, end, marginal) of offending tokens; keep: all columns of docs besides.
 
     Null text: no tokens. A clashing column `score` or `spans` of docs isn't kept.
     """
-    held = docs.sparkSession.sparkContext.broadcast(field)
-    kept = [c for c in docs.columns if c not in ("score", "spans", text_col)] if keep else [id_col]
+    held, key = docs.sparkSession.sparkContext.broadcast(field), f"field {uuid.uuid4().hex}"
+    names = [c for c in docs.columns if c not in ("score", "spans", text_col)] if keep else [id_col]
     if keep:
-        docs = docs.select(*(F.col(f"`{c}`") for c in kept), text_col)
+        docs = docs.select(*(F.col(f"`{c}`") for c in names), text_col)
     else:
         docs = docs.select(id_col, text_col)
-    fields = [docs.schema[c] for c in (docs.columns if keep else kept)]
+    fields = [docs.schema[c] for c in (docs.columns if keep else names)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, spans array<struct<start: int, end: int, marginal: double>>"
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         field = held.value
-        if id(field) not in _TABLES:
-            _TABLES.clear()
-            _TABLES[id(field)] = WordTable(field.emissions, 1)
-        table = _TABLES[id(field)]
+        table = kept(key, lambda: WordTable(field.emissions, 1))
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
         if field.constant is not None:
             scores, spans = [field.constant] * len(texts), [[] for _ in texts]
         else:
             scores, spans = [], []
-            table.renew()
             chains = [np.concatenate([table.of(words)[:, 0] for words in words_of(t)]) for t in texts]
             for text, p in zip(texts, marginals(chains, field.transitions), strict=True):
                 z = float(np.dot(_summary(p), field.document))
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
                 spans.append(_spans(text, p))
         columns = [batch.column(k) for k in range(len(fields))]
-        names = [f.name for f in fields]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*names, "score", "spans"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64()), pa.array(spans, kind)], [*(f.name for f in fields), "score", "spans"])
 
     return map_arrow(docs, run, schema)
 

@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
+from veilspark.llm.common import ENTRY_BYTES
+
 #: Most characters whose words are listed at once.
 SLICE_CHARS = 1 << 20
-#: Most distinct words, and values of them, that a worker keeps; beyond, it starts anew.
-KEPT_WORDS, KEPT_VALUES = 400_000, 1 << 26
+#: About the bytes of distinct words and their values that a worker keeps; beyond, it starts anew.
+KEPT_BYTES = 64 << 20
 #: Words times values that are looked up at once, about.
 STEP_VALUES = 1 << 19
 
@@ -46,17 +48,16 @@ class WordTable:
 
     def _start(self) -> None:
         self._rows: dict[str, int] = {}
+        self._bytes = 0
         self._matrix = np.zeros((1024, self._width), np.float32)
 
-    def renew(self) -> None:
-        """To be called between texts: drops what is kept once it is too much."""
-        if len(self._rows) > min(KEPT_WORDS, KEPT_VALUES // self._width):
+    def _rows_of(self, words: list[str]) -> np.ndarray:
+        if self._bytes > KEPT_BYTES:
             self._start()
-
-    def rows(self, words: list[str]) -> np.ndarray:
         known = self._rows
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
+            self._bytes += sum(map(len, new)) + len(new) * (ENTRY_BYTES + 4 * self._width)
             n, m = len(known), len(known) + len(new)
             if m > len(self._matrix):
                 grown = np.zeros((max(m, 2 * len(self._matrix)), self._width), np.float32)
@@ -69,6 +70,6 @@ class WordTable:
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
     def of(self, words: list[str]) -> np.ndarray:
-        """The values of each word, in order."""
-        rows = self.rows(words)
+        """The values of each word, in order. What is kept is dropped first once it is too much, so a call holds its own words at most besides."""
+        rows = self._rows_of(words)
         return self._matrix[rows]
