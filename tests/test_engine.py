@@ -29,6 +29,8 @@ CASES = [
     ("배우자 명의로", []),
     ("원고에게", []),
     ("원고 이지은", [("NAME", "이지은")]),
+    ("원고\n이지은", []),
+    ("원고: 이지은", [("NAME", "이지은")]),
     ("참　　조서민수님", [("NAME", "서민수")]),
     ("x" * 3 + "1" * 50_000, []),
     (None, []),
@@ -101,6 +103,82 @@ def test_ledger_shares_aliases_and_goes_on(spark):
     assert ("이지은", "C") in {(r.norm, r.alias) for r in more.collect()} and more.count() == 4
 
 
+def test_ledger_takes_text_ids_and_issues_no_alias_twice(spark):
+    read = documents.parsed_ledger(spark.createDataFrame([('{"PERSON": {"김철수": "A", "박민수": "D2", "최유리": "별명"}, "ORG": {"갑사": "AB사"}, "CASE": {"2020가합1": "사건C"}}',)], "value string"))
+    assert {(r.kind, r.alias): r.ordinal for r in read.collect()} == {("PERSON", "A"): 0, ("PERSON", "D2"): 3, ("PERSON", "별명"): None, ("ORG", "AB사"): 27, ("CASE", "사건C"): 2}
+    f = spark.createDataFrame([("x-1", 0, "NAME", "이지은"), ("x-2", 3, "NAME", "정호준"), ("x-2", 9, "ORG", "을사")], "doc_id string, pos int, label string, value string")
+    assert {r.alias for r in ledger.entries_of(f, read).collect()} == {"E", "F", "AC사"}
+
+
+def test_codes_of_all_longs(spark):
+    numbers = [0, 25, 26, 701, 702, 321_272_405, 321_272_406, 2**62, 2**63 - 1]
+
+    def code(n):
+        out = ""
+        while n >= 0:
+            out, n = chr(65 + n % 26) + out, n // 26 - 1
+        return out
+
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long").select("n", X.code(F.col("n")).alias("c")).withColumn("back", X.ordinal_of(F.col("c"))).collect()
+    assert [r.c for r in rows] == [code(n) for n in numbers] and all(r.back == r.n for r in rows if len(r.c) <= 13)
+
+
+def test_positions_and_first_values_of_many_matches(spark):
+    text = "".join(f"{'가' * (k % 3)}1{k % 7}" for k in range(2000))
+    r = spark.createDataFrame([(text,)], "t string").select(X.spans(F.col("t"), "[0-9]+").alias("s"), X.first_of(X.spans(F.col("t"), "[0-9]+")).alias("f")).first()
+    import re
+
+    want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", text)]
+    assert [(x.start, x.stop, x.value) for x in r.s] == want
+    assert [x.value for x in r.f] == list(dict.fromkeys(v for _, _, v in want))
+
+
+def test_users_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "원고 김철수는", "a", "b", "c")], "doc_id long, text string, _own string, _c1 string, masked string")
+    found = detect(docs)
+    row = mask.restore(mask.mask(found)).first()
+    assert (row["_own"], row["_c1"], row.restored) == ("a", "b", "원고 김철수는") and mask.anonymise(found).first()["_own"] == "a"
+    with pytest.raises(ValueError):
+        detect(docs.withColumn("__veil_scan", F.lit(1)))
+
+
+def test_aliases_are_restored(spark):
+    docs = written(detect(spark.createDataFrame([(1, "원고 김철수는 A 안을 김 철 수 에게"), (2, "피고 박민수와 원고 김철수")], "doc_id long, text string")), "alias-docs")
+    from veilspark.operators.detect import exploded
+
+    known = ledger.extend(exploded(docs))
+    for done in (mask.mask(mask.alias_marks(docs, known), marks_col="alias_marks"), mask.mask(mask.alias_marks(docs), marks_col="alias_marks")):
+        rows = mask.restore(done).orderBy("doc_id").collect()
+        assert rows[0].masked == "원고 A2는 A 안을 A2 에게" and rows[0].restored == "원고 김철수는 A 안을 김철수 에게" and rows[1].restored == rows[1].text
+        assert all(r.residual == [] and r.collisions == [] for r in rows)
+
+
+def test_reports(spark):
+    docs = detect(spark.createDataFrame([(1, "원고 김철수는 123-45-678 을"), (2, "없음")], "doc_id long, text string"))
+    done = mask.anonymise(docs).withColumn("lost", F.when(F.col("doc_id") == 2, F.array(F.lit("x"))))
+    rows = shapes.report(done, unmapped_col="lost", recogniser=True).orderBy("doc_id").collect()
+    assert [(r.exit_code, r.unmapped, len(r.warnings), r.engine.recogniser) for r in rows] == [(2, [], 1, True), (1, ["x"], 0, True)] and rows[0].persons == ["김철수"]
+    assert "rules alone" in shapes.report(done).first().warnings[-1]
+
+
+def test_giant_documents_in_the_published_time(spark):
+    import time
+
+    detect(spark.createDataFrame([(0, "원고 김철수")], "doc_id long, text string")).collect()  # plans and compiles
+    for text, seconds in (("1234567890" * 10_000, 3.0), ("가나다라마바사아자차" * 20_000, 5.0)):
+        docs = written(spark.createDataFrame([(1, text)], "doc_id long, text string"), "giant")
+        best = min(_seconds(lambda: detect(docs).select("findings").collect(), time.perf_counter) for _ in range(2))
+        # The bound is for a machine that adds up a million numbers in 20 ms.
+        slow = max(1.0, min(_seconds(lambda: sum(range(1_000_000)), time.perf_counter) for _ in range(5)) / 0.02)
+        assert best < seconds * slow, (len(text), best, slow)
+
+
+def _seconds(run, clock) -> float:
+    began = clock()
+    run()
+    return clock() - began
+
+
 def test_text_functions_and_validators(spark):
     r = spark.range(1).select(X.code(F.lit(0)).alias("a"), X.code(F.lit(25)).alias("z"), X.code(F.lit(26)).alias("aa"), X.code(F.lit(702)).alias("aaa"), X.agree(F.lit("은"), F.lit("나무")).alias("j"), X.peek(F.lit("01012345678")).alias("p"), V.business_number(F.lit("220-81-62517")).alias("b"), V.card_number(F.lit(None).cast("string")).alias("n")).first()
     assert tuple(r) == ("A", "Z", "AA", "AAA", "는", "01…○○○○○○○○8", True, False)

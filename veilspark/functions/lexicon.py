@@ -1,4 +1,7 @@
-"""Vocabulary of Korean legal and administrative texts, and rules that build larger word sets from it."""
+"""Labels, titles, particles, court codes and the like of Korean legal and administrative texts.
+
+What looks like a name but is a common word is in `vocabulary`.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +22,12 @@ COURT_CODES = (
 ).split()
 SHORT_COURT_CODES = "가합 가단 가소 나 다 라 마 머 고합 고단 고정 고약 노 도 로 모 초 구합 구단 누 두 드합 드단 르 므 허 후 카합 카단 카기 카담 타경 타기 회합 회단".split()
 PLATE_SYLLABLES = "가나다라마거너더러머버서어저고노도로모보소오조구누두루무부수우주아바사자배하허호"
+# Words of case numbers of other authorities, and address labels.
+PROSECUTION_CODES = "형제 전형제 중제 공제 징수".split()
+LABOUR_CODES = "부해 부노 부차 부당".split()
+APPEAL_BOARDS = "중앙행심 행심".split()
+DECISIONS = "의결 심결 재결 결정 명령".split()
+ADDRESS_LABELS = "주소 주거 소재지 등록기준지 거소 사업장".split()
 LABOUR_REGIONS = "서울 부산 인천 경기 강원 충북 충남 전북 전남 경북 경남 제주 중노위".split()
 
 ORG_ROLES = (
@@ -53,26 +62,13 @@ TRAILING_JOSA = "에게서 으로서 에게 에서 으로 은 는 이 가 을 
 JOSA_CHARS = "은는이가을를와과의에도만로랑나며고라야께서밖뿐씨님한테보다처럼같이마저조차부터까지"
 ABSORBED_JOSA, PLACE_ENDS = "이가은는을를의에로도과와나만랑", "시군구도읍면리동"
 
+# What stands where a label's name should be; words that follow a kinship word instead of a name.
 NOT_NAMES = "법무법인 주식회사 유한회사 합자회사 합명회사 관련사항 선임서 아래 변호사 변호인 검사 피고인 대표이사 담당자 성명 예금주 신청인 대표자 증인 참고인 신문 조서 진술 작성 참여 들의 들이 사장 측에서 미상 불명 미기재 없음 해당없음 동일 상동 생략 별지 별첨 공란 미정".split()
 NOT_KIN = (
     "명의 성명 이름 본인 당사자 상대 상대방 일방 쌍방 전원 각자 모두 하나 둘 셋 기타 해당 당시 이하 양육 양육비 양육권 친권 면접 교섭 부양 부양료 위자료 재산 지분 상속 상속분 유류분 유산 유증 증여 협의 "
     "합의 동의 사망 생존 관계 포함 제외 명단 주소 직업 생년 생일 나이 연령 성별 국적 거주 동거 별거 이혼 혼인 재혼 출생 입양 인지 청구 신청 소송 심판 조정"
 ).split()
 
-# Common words that begin like a surname, by field: second syllables by their first. Users add words of their own by a parameter of detect().
-_COMMON = {
-    "이": "사 후 상 하 전 자 유 용 내 래 제 때 곳 번 것 런 미 사회 사장 의 외 메일 메 행 익 해", "정": "도 보 부 리 신 치 확 당 책 지 관 산 기 본", "조": "사 정 직 건 성 합 례 항 치 회 서",
-    "최": "고 근 소 대 초 종 선", "강": "조 화 제 력 남 요", "고": "려 소 발 객 정 지 용 의 시 등", "문": "제 의 서 화 구", "양": "측 자 쪽 육 도 수 식", "손": "해 실 익", "배": "상 경 제 당 우자",
-    "백": "만", "허": "가 용 위", "유": "지 의 효 일 족 언 치", "남": "성 녀 부 편", "심": "사 의 리 각 판", "하": "나 는 지 자 여", "성": "명 립 격 과 년", "차": "이 량 용 입 액", "주": "소 장 문 민 식 택 의 거",
-    "우": "리 선 편 려", "구": "성 체 두 속 입 제 청", "민": "사 법 원 간", "지": "급 정 역 분 시 위 방 연 출 원", "방": "법 문 식 향 해", "공": "동 사 개 무 정 고 증 소 탁", "현": "재 장 행 금 황", "임": "대 의 차 금 원 시",
-    "한": "편 국 도 계", "오": "후 전 류 늘", "서": "면 류 울 명 비스", "신": "청 고 문 용 분 탁 의", "권": "리 한 고", "황": "당", "안": "내 전 건", "송": "달 금 부", "전": "체 부 화 자 원 문 대 세", "홍": "보",
-    "장": "소 래 기 부 애 비", "윤": "리", "노": "동 력 무", "원": "고 인 칙 본 래 금 심", "채": "권 무 택 용", "변": "경 호 제 론 동", "나": "머지 라 중", "도": "로 시 착 급", "소": "송 유 득 외 장 속 멸", "석": "방",
-    "선": "고 임 택 정 거", "설": "명 정 치 립", "마": "찬가지 지막", "위": "원 반 치 임 법 탁 하여", "표": "시 현 준", "명": "의 령 시 확 백", "기": "타 간 본 준 재 록 각 존 일", "반": "환 대 드시 면", "금": "액 전 지 융 원",
-    "인": "정 용 도 수 근 천 사", "제": "출 기 한 공 도 안 시 외", "모": "두 든 집", "진": "술 행 정 실", "국": "가 민 내 세", "어": "느 려움", "은": "행", "경": "우 찰 과 위 기 영 매", "예": "정 금 상 외", "연": "대 락 체 장", "천": "만", "여": "부 러 성", "추": "가 정 심", "함": "께", "길": "이", "용": "도 역 의",
-}
-COMMON_WORDS = sorted({a + b for a, ends in _COMMON.items() for b in ends.split()} | set("서울 부산 대구 인천 광주 대전 울산 강남 성남 안양 안산 김포 김해 전주 제주 경주 진주 원주 공주 나주".split()))
-
-
 def any_of(words: list[str]) -> str:
     """An alternation, longest first."""
     return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"

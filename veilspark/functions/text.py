@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,18 +64,20 @@ def peek(c: Column) -> Column:
 
 
 def code(ordinal: Column) -> Column:
-    """Bijective base 26: 0 is A, 25 Z, 26 AA."""
-    n = ordinal.cast("long")
-    letter = lambda x: F.char(F.lit(65) + x % 26)
-    sizes = [26**k for k in range(1, 7)]
-    out, first = None, 0
-    for width, size in enumerate(sizes, 1):
-        own = n - first
-        text = F.concat(*[letter(F.floor(own / 26**k)) for k in range(width - 1, -1, -1)])
-        cond = n < first + size
-        out = [(cond, text)] if out is None else [*out, (cond, text)]
-        first += size
-    return reduce(lambda rest, ct: F.when(ct[0], ct[1]).otherwise(rest), reversed(out), F.lit(None).cast("string"))
+    """Bijective base 26: 0 is A, 25 Z, 26 AA; 14 letters take every long."""
+    left = F.struct(ordinal.cast("long").alias("n"), F.lit("").alias("text"))
+
+    def letter(acc: Column, _: Column) -> Column:
+        more = F.struct((F.call_function("div", acc["n"], F.lit(26)) - 1).alias("n"), F.concat(F.char(F.lit(65) + acc["n"] % 26), acc["text"]).alias("text"))
+        return F.when(acc["n"] < 0, acc).otherwise(more)
+
+    return F.when(ordinal >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), left, letter)["text"])
+
+
+def ordinal_of(letters: Column) -> Column:
+    """What code() made the letters from; null for anything but A to Z."""
+    value = F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 64)
+    return F.when(letters.rlike(r"^[A-Z]{1,13}\z"), value - 1)
 
 
 def quoted(c: Column) -> Column:
@@ -112,29 +113,46 @@ def cuts(text: Column, pattern: Column | str, group: int = 0, needs: str | None
 
 def spans_of(cut: Column, group: int = 0) -> Column:
     """All matches from left to right, as structs of start, stop (of the whole match, from 0), match and value (of the group)."""
-    # Positions add up the lengths of gaps and matches; the fold carries numbers only.
     sizes = F.zip_with(F.slice(cut["g"], 1, F.size(cut["w"])), cut["w"], lambda g, m: F.length(g) + F.length(m))
-
-    def place(acc: Column, size: Column) -> Column:
-        return F.concat(acc, F.array((F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + size).cast("int")))
-
-    zipped = F.arrays_zip(F.aggregate(sizes, F.array().cast("array<int>"), place).alias("stop"), cut["w"].alias("match"), cut["v" if group else "w"].alias("value"))
+    zipped = F.arrays_zip(running(sizes).alias("stop"), cut["w"].alias("match"), cut["v" if group else "w"].alias("value"))
     found = F.transform(zipped, lambda x: F.struct((x["stop"] - F.length(x["match"])).alias("start"), x["stop"].alias("stop"), x["match"].alias("match"), x["value"].alias("value")))
     return F.when(cut.isNull(), F.array().cast(SPANS)).otherwise(found)
 
 
+def running(sizes: Column, block: int = 256) -> Column:
+    """Running sums of a non-empty array of ints, block by block: a fold that grows an array copies it at each step, so it only runs over blocks and then over their sums."""
+
+    def fold(values: Column) -> Column:
+        grown = lambda acc, v: F.concat(acc, F.array((F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + v).cast("int")))
+        return F.aggregate(values, F.array().cast("array<int>"), grown)
+
+    def whole(blocks: Column) -> Column:
+        ends = fold(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.zip_with(blocks, ends, lambda b, e: F.transform(b, lambda v: v + e - F.element_at(b, -1))))
+
+    starts = F.sequence(F.lit(1), F.size(sizes), F.lit(block))
+    return let(F.transform(starts, lambda s: fold(F.slice(sizes, s, block))), whole)
+
+
 def spans(text: Column, pattern: Column | str, group: int = 0) -> Column:
     """spans_of() in one expression, for a single pattern."""
     return let(cuts(text, pattern, group), lambda c: spans_of(c, group))
 
 
+def one_of(c: Column, words: Sequence[str]) -> Column:
+    """Whether a text without line breaks is one of many words: one search in one literal, where a list would be as many literals."""
+    return F.contains(F.lit("\n" + "\n".join(words) + "\n"), F.concat(F.lit("\n"), c, F.lit("\n")))
+
+
 def window(text: Column, start: Column, stop: Column, reach: int) -> Column:
     """Text around a span, up to `reach` characters on each side."""
     first = F.greatest(start - reach, F.lit(0))
     return F.substr(text, first + 1, stop + reach - first)
 
 
-def first_of(entries: Column) -> Column:
-    """Of structs with a field `value`, the first of each value, in order."""
-    both = F.struct(entries.alias("e"), F.transform(entries, lambda e: e["value"]).alias("v"))
-    return let(both, lambda b: F.filter(b["e"], lambda e, i: F.array_position(b["v"], e["value"]) == i + 1))
+def first_of(entries: Column, field: str = "value") -> Column:
+    """Of structs, the first of each value of a field, in order: sorted by value and place, then by place again."""
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e[field].alias("v"), i.alias("i"), e.alias("e"))))
+    new = lambda all_: F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["v"] != x["v"]))
+    back = F.array_sort(F.transform(let(placed, new), lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e"))))
+    return F.transform(back, lambda x: x["e"])

@@ -8,12 +8,11 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.functions.lexicon import COMMON_WORDS
+from veilspark.functions.vocabulary import COMMON_WORDS
 from veilspark.functions import text
-from veilspark.functions.text import cuts, first_of, strip
+from veilspark.functions.text import cuts, first_of, let, strip
 from veilspark.operators.names import NAME_RULES, NER_RULE, USER_RULE, NameRule, rule_names, stands_alone
 from veilspark.operators.rules import FINDINGS, RULES, Rule, checked_labels, rule_findings
-from veilspark.sources.tables import barrier, written
 
 
 def _none() -> Column:
@@ -21,8 +20,14 @@ def _none() -> Column:
 
 
 def contained(findings: Column) -> Column:
-    """Without values that hold a digit and are a proper part of another value."""
-    return F.filter(findings, lambda f: ~(f["value"].rlike("[0-9０-９]") & F.exists(findings, lambda g: (g["value"] != f["value"]) & g["value"].contains(f["value"]))))
+    """Without values that hold a digit and are a proper part of another value. Values are distinct, so such a one occurs twice in all of them."""
+
+    def among(x: Column) -> Column:
+        twice = lambda v: F.instr(F.substr(x["all"], F.instr(x["all"], v) + 1), v) > 0
+        return F.filter(x["f"], lambda f: ~(f["value"].rlike("[0-9０-９]") & twice(f["value"])))
+
+    joined = F.array_join(F.transform(findings, lambda f: f["value"]), "\x00")
+    return let(F.struct(findings.alias("f"), joined.alias("all")), among)
 
 
 def without_artifacts(findings: Column) -> Column:
@@ -32,20 +37,24 @@ def without_artifacts(findings: Column) -> Column:
     return F.filter(findings, lambda f: ~((f["label"] == "ORG") & (tail(f, 1) | tail(f, 2))))
 
 
-# Expressions over _scan and _source don't depend on the documents, so each is built once for a Spark context.
+#: Columns of detect()'s own begin like this; documents may not have such ones.
+OWN = "__veil_"
+
+
+# Expressions over the scanned text don't depend on the documents, so each is built once for a Spark application.
 @lru_cache(maxsize=500)
-def _cut(key: int, pattern: str, group: int, needs: str) -> Column:
-    return cuts(F.col("_scan"), pattern, group, needs)
+def _cut(key: str, pattern: str, group: int, needs: str) -> Column:
+    return cuts(F.col(f"{OWN}scan"), pattern, group, needs)
 
 
 @lru_cache(maxsize=200)
-def _ruled(key: int, rule: Rule) -> Column:
-    return rule_findings(rule, F.col(f"_c{rule.no}"), F.col("_scan"), F.col("_source"))
+def _ruled(key: str, rule: Rule) -> Column:
+    return rule_findings(rule, F.col(f"{OWN}c{rule.no}"), F.col(f"{OWN}scan"), F.col(f"{OWN}source"))
 
 
 @lru_cache(maxsize=200)
-def _named(key: int, rule: NameRule, stop_words: tuple[str, ...]) -> Column:
-    return rule_names(rule, F.col(f"_n{rule.no}"), F.col("_scan"), COMMON_WORDS + list(stop_words))
+def _named(key: str, rule: NameRule, stop_words: tuple[str, ...]) -> Column:
+    return rule_names(rule, F.col(f"{OWN}n{rule.no}"), F.col(f"{OWN}scan"), COMMON_WORDS + list(stop_words))
 
 
 def detect(docs: DataFrame, text_col: str = "text", skip: Sequence[str] = (), extra_names: Sequence[str] = (), excluded_names: Sequence[str] = (), stop_words: Sequence[str] = (), ner_col: str | None = None, strict_containment: bool = True, out_col: str = "findings") -> DataFrame:
@@ -56,41 +65,44 @@ def detect(docs: DataFrame, text_col: str = "text", skip: Sequence[str] = (), ex
     drops a number that is part of another. Null texts have no findings.
     """
     skip = checked_labels(skip)
-    source = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.withColumn("_source", source).withColumn("_scan", text.scan(F.col("_source")))
-    scan, key = F.col("_scan"), id(docs.sparkSession.sparkContext)
+    if own := [c for c in docs.columns if c.startswith(OWN)]:
+        raise ValueError(f"columns that begin with {OWN} are kept for detect(): {own}")
+    source, columns = F.coalesce(F.col(text_col), F.lit("")), [F.col(f"`{c}`") for c in docs.columns if c != out_col]
+    docs = docs.withColumn(f"{OWN}source", source).withColumn(f"{OWN}scan", text.scan(F.col(f"{OWN}source")))
+    scan, key = F.col(f"{OWN}scan"), docs.sparkSession.sparkContext.applicationId
     rules = [r for r in RULES if r.label not in skip]
     named = [] if "NAME" in skip else NAME_RULES
     # Cuts are columns of a step of their own: each pattern runs over a text once.
-    docs = docs.withColumns({f"_c{r.no}": _cut(key, r.pattern, r.group, r.needs) for r in rules} | {f"_n{r.no}": _cut(key, r.pattern, 1, r.needs) for r in named})
+    docs = docs.withColumns({f"{OWN}c{r.no}": _cut(key, r.pattern, r.group, r.needs) for r in rules} | {f"{OWN}n{r.no}": _cut(key, r.pattern, 1, r.needs) for r in named})
     names = F.concat(_none(), *(_named(key, r, tuple(stop_words)) for r in named))
     if named and extra_names:
-        extra = F.array(*(F.struct(F.lit(USER_RULE).alias("rule_no"), (F.instr(scan, n) - 1).cast("int").alias("pos"), F.lit("NAME").alias("label"), F.lit(n).alias("value")) for n in extra_names))
+        # As they are, or with blanks between their characters.
+        at = lambda n: F.regexp_instr(scan, F.lit(r"[ \t]*".join(f"\\x{{{ord(c):x}}}" for c in n if not c.isspace()))) - 1
+        extra = F.array(*(F.struct(F.lit(USER_RULE).alias("rule_no"), at(n).cast("int").alias("pos"), F.lit("NAME").alias("label"), F.lit(n).alias("value")) for n in dict.fromkeys(extra_names) if n.strip()))
         names = F.concat(names, F.filter(extra, lambda f: f["pos"] >= 0))
     if excluded_names:
         names = F.filter(names, lambda f: ~f["value"].isin(*excluded_names))
-    found = docs.withColumns({"_rules": F.concat(_none(), *(_ruled(key, r) for r in rules)), "_names": names})
-    found = found.drop(*(c for c in found.columns if c.startswith(("_c", "_n")) and c[2:].isdigit()))
+    found = docs.withColumns({f"{OWN}rules": F.concat(_none(), *(_ruled(key, r) for r in rules)), f"{OWN}names": names})
     hits = _none()
     if ner_col and "NAME" not in skip:
         hits = F.transform(F.coalesce(F.col(ner_col), F.array().cast("array<struct<label:string,value:string>>")), lambda h: F.struct(F.lit(NER_RULE).alias("rule_no"), (F.instr(scan, h["value"]) - 1).cast("int").alias("pos"), h["label"].alias("label"), strip(h["value"]).alias("value")))
         hits = F.filter(hits, lambda f: ~f["label"].isin(*skip)) if skip else hits
-    found = found.withColumn("_found", first_of(F.concat("_rules", "_names", hits)))
+        if excluded_names:
+            hits = F.filter(hits, lambda f: ~((f["label"] == "PERSON") & f["value"].isin(*excluded_names)))
+    all_ = F.col(f"{OWN}found")
+    found = found.withColumn(f"{OWN}found", first_of(F.concat(f"{OWN}rules", f"{OWN}names", hits)))
     people = lambda f: f["label"].isin("NAME", "PERSON")
-    found = found.withColumn("_found", F.filter("_found", lambda f: ~people(f) | stands_alone(scan, f["value"])))
-    merged = without_artifacts(F.col("_found"))
-    found = found.withColumn("_found", merged)
-    return found.withColumn(out_col, barrier(contained(F.col("_found")) if strict_containment else F.col("_found"))).drop("_source", "_scan", "_rules", "_names", "_found")
+    found = found.withColumn(f"{OWN}found", F.filter(all_, lambda f: ~people(f) | stands_alone(scan, f["value"])))
+    found = found.withColumn(f"{OWN}found", without_artifacts(all_))
+    return found.select(*columns, (contained(all_) if strict_containment else all_).alias(out_col))
 
 
 def exploded(found: DataFrame, id_col: str = "doc_id", findings_col: str = "findings") -> DataFrame:
-    """A row for each finding: id_col, rule_no, pos, label, value.
+    """A row for each finding: id_col, rule_no, pos, label, value. Who needs the rows more than once writes them first.
 
-    Documents with findings are written first: what follows reads those few rows, and the optimizer doesn't carry the rules' expressions
-    into filters and joins above.
+    The outer form keeps the optimizer from putting a test of the findings below, which would compute the rules twice.
     """
-    own = written(found.select(id_col, findings_col), "findings")
-    return own.filter(F.size(findings_col) > 0).select(id_col, F.inline(findings_col))
+    return found.select(id_col, F.inline_outer(findings_col)).filter(F.col("rule_no").isNotNull())
 
 
 def labels_of(findings: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions.lexicon import REGIONS
-from veilspark.functions.text import flexible, let, quoted, squash
+from veilspark.functions.text import first_of, flexible, let, quoted, squash
+from veilspark.operators.detect import exploded
 from veilspark.operators.ledger import alias as alias_of
 from veilspark.operators.ledger import aliased, kind_of
 
@@ -56,26 +57,25 @@ def bookmark_text(title: Column, targets: Column) -> Column:
 MARKS = "array<struct<mark:string,original:string,type:string>>"
 
 
-def by_length(findings: Column) -> Column:
-    """Longest values first, then by place."""
-    keyed = F.transform(findings, lambda f: F.struct((-F.length(f["value"])).alias("n"), f["pos"].alias("pos"), f["value"].alias("value"), kind_of(f["label"]).alias("kind")))
-    return F.array_sort(keyed)
-
-
 def token_marks(findings: Column) -> Column:
     """[[KIND_nn]] for each value, counted by kind, longest value first."""
 
-    def marked(sorted_: Column) -> Column:
-        kinds = F.transform(sorted_, lambda x: x["kind"])
+    def numbered(own: Column) -> Column:
+        kinds = F.transform(own, lambda x: x["kind"])
+        return let(F.struct(own.alias("own"), F.transform(F.array_distinct(kinds), lambda k: F.struct(k.alias("kind"), F.array_position(kinds, k).alias("first"))).alias("firsts")), marked)
 
-        def one(x: Column, i: Column) -> Column:
-            n = F.size(F.filter(F.slice(kinds, 1, i + 1), lambda k: k == x["kind"])).cast("string")
+    def marked(x: Column) -> Column:
+        # Sorted by kind, a value's number is its place after the first of its kind; there are few kinds.
+        def one(f: Column, i: Column) -> Column:
+            n = (i + 2 - F.get(F.filter(x["firsts"], lambda k: k["kind"] == f["kind"]), F.lit(0))["first"]).cast("string")
             number = F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)
-            return F.struct(F.concat(F.lit("[["), x["kind"], F.lit("_"), number, F.lit("]]")).alias("mark"), x["value"].alias("original"), x["kind"].alias("type"))
+            mark = F.struct(F.concat(F.lit("[["), f["kind"], F.lit("_"), number, F.lit("]]")).alias("mark"), f["value"].alias("original"), f["kind"].alias("type"))
+            return F.struct(f["n"].alias("n"), f["pos"].alias("pos"), f["value"].alias("value"), mark.alias("m"))
 
-        return F.transform(sorted_, lambda x, i: one(x, i))
+        return F.transform(F.array_sort(F.transform(x["own"], one)), lambda f: f["m"])
 
-    return let(by_length(findings), marked)
+    keyed = F.transform(findings, lambda f: F.struct(kind_of(f["label"]).alias("kind"), (-F.length(f["value"])).alias("n"), f["pos"].alias("pos"), f["value"].alias("value")))
+    return let(F.array_sort(keyed), numbered)
 
 
 def standalone(text: Column, mark: Column) -> Column:
@@ -99,6 +99,9 @@ def collisions(text: Column, marks: Column) -> Column:
     return F.filter(F.transform(marks, lambda m: m["mark"]), lambda m: standalone(text, m))
 
 
+# Columns of these functions' own.
+_PATTERN, _EXACT, _SPACED, _DONE, _MARKS = "__veil_pattern", "__veil_exact", "__veil_spaced", "__veil_done", "__veil_marks"
+
 # --- one pass --------------------------------------------------------------
 
 
@@ -121,15 +124,17 @@ def mask(found: DataFrame, text_col: str = "text", findings_col: str = "findings
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = found.withColumn("marks", F.col(marks_col) if marks_col else token_marks(F.col(findings_col)))
-    out = out.withColumn("_pattern", F.array_join(F.transform("marks", lambda m: flexible(m["original"])), "|"))
+    names = [c for c in out.columns if c not in ("masked", "n_replaced", "collisions", "residual")]
+    out = out.withColumn(_PATTERN, F.array_join(F.transform("marks", lambda m: flexible(m["original"])), "|"))
     exact = F.map_from_entries(let(F.col("marks"), lambda ms: F.transform(ms, lambda m: F.struct(m["original"], m["mark"]))))
     spaced = F.transform("marks", lambda m: F.struct(squash(m["original"]).alias("k"), m["mark"].alias("m")))
-    out = out.withColumn("_exact", exact).withColumn("_spaced", spaced)
-    stand = lambda w: F.coalesce(F.try_element_at("_exact", w), F.get(F.filter("_spaced", lambda s: s["k"] == squash(w)), F.lit(0))["m"], w)
+    out = out.withColumn(_EXACT, exact).withColumn(_SPACED, spaced)
+    stand = lambda w: F.coalesce(F.try_element_at(F.col(_EXACT), w), F.get(F.filter(F.col(_SPACED), lambda s: s["k"] == squash(w)), F.lit(0))["m"], w)
     none = F.struct(text.alias("text"), F.lit(0).alias("n"))
-    out = out.withColumn("_done", F.when(F.size("marks") > 0, _replaced(text, F.col("_pattern"), stand)).otherwise(none))
-    left = F.filter(F.transform("marks", lambda m: m["original"]), lambda v: F.regexp_like(F.col("_done.text"), flexible(v)))
-    return out.select(*(c for c in out.columns if not c.startswith("_")), F.when(F.col(text_col).isNotNull(), F.col("_done.text")).alias("masked"), F.col("_done.n").alias("n_replaced"), collisions(text, F.col("marks")).alias("collisions"), left.alias("residual"))
+    out = out.withColumn(_DONE, F.when(F.size("marks") > 0, _replaced(text, F.col(_PATTERN), stand)).otherwise(none))
+    done = F.col(_DONE)
+    left = F.filter(F.transform("marks", lambda m: m["original"]), lambda v: F.regexp_like(done["text"], flexible(v)))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.when(F.col(text_col).isNotNull(), done["text"]).alias("masked"), done["n"].alias("n_replaced"), collisions(text, F.col("marks")).alias("collisions"), left.alias("residual"))
 
 
 def restore(masked: DataFrame, masked_col: str = "masked", marks_col: str = "marks") -> DataFrame:
@@ -137,28 +142,49 @@ def restore(masked: DataFrame, masked_col: str = "masked", marks_col: str = "mar
     text = F.coalesce(F.col(masked_col), F.lit(""))
     ordered = F.array_sort(F.transform(marks_col, lambda m: F.struct((-F.length(m["mark"])).alias("n"), m["mark"].alias("mark"))))
     pattern = F.array_join(F.transform(ordered, lambda m: F.when(m["mark"].startswith("[["), quoted(m["mark"])).otherwise(_alone(m["mark"]))), "|")
-    out = masked.withColumn("_pattern", pattern).withColumn("_back", F.map_from_entries(F.transform(marks_col, lambda m: F.struct(m["mark"], m["original"]))))
-    done = F.when(F.size(marks_col) > 0, _replaced(text, F.col("_pattern"), lambda w: F.coalesce(F.try_element_at("_back", w), w))).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
-    out = out.withColumn("_done", done)
-    unresolved = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col("_done.text"), F.lit(TOKEN), F.lit(1))))
-    return out.select(*(c for c in out.columns if not c.startswith("_")), F.when(F.col(masked_col).isNotNull(), F.col("_done.text")).alias("restored"), F.col("_done.n").alias("n_restored"), unresolved.alias("unresolved"))
+    names = [c for c in masked.columns if c not in ("restored", "n_restored", "unresolved")]
+    # Spellings of one value may share an alias; the first of them comes back.
+    out = masked.withColumn(_PATTERN, pattern).withColumn(_EXACT, F.map_from_entries(F.transform(first_of(F.col(marks_col), "mark"), lambda m: F.struct(m["mark"], m["original"]))))
+    done = F.when(F.size(marks_col) > 0, _replaced(text, F.col(_PATTERN), lambda w: F.coalesce(F.try_element_at(F.col(_EXACT), w), w))).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
+    out, done = out.withColumn(_DONE, done), F.col(_DONE)
+    unresolved = F.array_sort(F.array_distinct(F.regexp_extract_all(done["text"], F.lit(TOKEN), F.lit(1))))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.when(F.col(masked_col).isNotNull(), done["text"]).alias("restored"), done["n"].alias("n_restored"), unresolved.alias("unresolved"))
 
 
-def anonymise(found: DataFrame, mode: str = "anon", aliases: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings") -> DataFrame:
-    """found with masked text in irreversible (anon) or consistent (pseudo) form; null replacements become a block.
+_OWN = "__veil_own"
+_ALIASED = "array<struct<label:string,value:string,pos:int,alias:string>>"
 
-    aliases: kind, norm, alias of a ledger; it is joined to findings, not to texts. Without one, aliases are of the document alone.
-    """
+
+def _with_aliases(found: DataFrame, aliases: DataFrame | None, id_col: str, findings_col: str) -> DataFrame:
+    """found with an array of (label, value, pos, alias): from a ledger, which is joined to findings and not to texts, or of the document alone."""
     if aliases is None:
-        local = lambda ms: F.transform(ms, lambda f, i: F.struct(f["label"].alias("label"), f["value"].alias("value"), _ordinal(ms, f).alias("o")))
-        out = found.withColumn("_own", let(F.col(findings_col), local)).withColumn("_own", F.transform("_own", lambda f: F.struct(f["label"].alias("label"), f["value"].alias("value"), alias_of(kind_of(f["label"]), f["o"]).alias("alias"))))
-    else:
-        listed = aliased(found.select(F.col(id_col).alias("doc_id"), F.inline(findings_col)), aliases)
-        lists = listed.groupBy(F.col("doc_id").alias(id_col)).agg(F.collect_list(F.struct("label", "value", "alias")).alias("_own"))
-        out = found.join(lists, id_col, "left").withColumn("_own", F.coalesce("_own", F.array().cast("array<struct<label:string,value:string,alias:string>>")))
-    marks = F.transform("_own", lambda f: F.struct((-F.length(f["value"])).alias("n"), document_replacement(replacement(f["label"], f["value"], f["alias"], mode)).alias("mark"), f["value"].alias("original"), kind_of(f["label"]).alias("type")))
-    out = out.withColumn("_marks0", F.transform(F.array_sort(marks), lambda m: F.struct(m["mark"].alias("mark"), m["original"].alias("original"), m["type"].alias("type"))))
-    return mask(out.withColumnRenamed("_marks0", "anon_marks").drop("_own"), text_col, findings_col, "anon_marks").drop("anon_marks", "collisions")
+        local = lambda fs: F.transform(fs, lambda f: F.struct(f["label"].alias("label"), f["value"].alias("value"), f["pos"].alias("pos"), alias_of(kind_of(f["label"]), _ordinal(fs, f)).alias("alias")))
+        return found.withColumn(_OWN, let(F.col(findings_col), local))
+    listed = aliased(exploded(found, id_col, findings_col), aliases)
+    lists = listed.groupBy(id_col).agg(F.collect_list(F.struct("label", "value", "pos", "alias")).alias(_OWN))
+    return found.join(lists, id_col, "left").withColumn(_OWN, F.coalesce(_OWN, F.array().cast(_ALIASED)))
+
+
+def alias_marks(found: DataFrame, aliases: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings", marks_col: str = "alias_marks") -> DataFrame:
+    """found with marks in the readable, restorable style: each value's alias, with a suffix where the text already holds it. For mask(..., marks_col=...).
+
+    aliases: a ledger that has an entry for each value; without one, aliases are of the document alone.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    out = _with_aliases(found, aliases, id_col, findings_col)
+    longest = F.array_sort(F.transform(_OWN, lambda f: F.struct((-F.length(f["value"])).alias("n"), f["pos"].alias("pos"), f["value"].alias("value"), f["label"].alias("label"), f["alias"].alias("alias"))))
+    marks = F.transform(longest, lambda f: F.struct(alias_mark(text, f["alias"]).alias("mark"), f["value"].alias("original"), kind_of(f["label"]).alias("type")))
+    return out.withColumn(marks_col, marks).drop(_OWN)
+
+
+def anonymise(found: DataFrame, mode: str = "anon", aliases: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", findings_col: str = "findings") -> DataFrame:
+    """found with masked text in irreversible (anon) or consistent (pseudo) form; null replacements become a block. aliases: a ledger; without one, aliases are of the document alone."""
+    out = _with_aliases(found, aliases, id_col, findings_col)
+    longest = F.array_sort(F.transform(_OWN, lambda f: F.struct((-F.length(f["value"])).alias("n"), document_replacement(replacement(f["label"], f["value"], f["alias"], mode)).alias("mark"), f["value"].alias("original"), kind_of(f["label"]).alias("type"))))
+    marks = F.transform(longest, lambda m: F.struct(m["mark"].alias("mark"), m["original"].alias("original"), m["type"].alias("type")))
+    columns = [F.col(f"`{c}`") for c in found.columns if c not in ("masked", "n_replaced", "residual")]
+    done = mask(out.withColumn(_MARKS, marks).drop(_OWN), text_col, findings_col, _MARKS)
+    return done.select(*columns, "masked", "n_replaced", "residual")
 
 
 def _ordinal(all_: Column, f: Column) -> Column:

@@ -26,7 +26,7 @@ def accept_hits(docs: DataFrame, hits: DataFrame, id_col: str = "doc_id", text_c
     own = usable(own)
     starts = lambda p: F.exists("evidence", lambda e: e.startswith(p))
     sure = starts("pos:surname") & starts("pos:name_final_syllable") & (F.length("value") >= 3) & (F.col("confidence") >= PERSON_CONFIDENCE) & ((F.length("value") < 4) | F.col("value").rlike(f"^{any_of(COMPOUND_SURNAMES)}"))
-    context = F.exists("evidence", lambda e: e.rlike("title|field|pii"))
+    context = starts("pos:title") | starts("pos:field_label") | starts("pos:deterministic_pii_nearby")
     votes = own.groupBy(id_col, "label", "value").agg(F.bool_or(sure).alias("sure"), F.bool_or(context).alias("context"), F.min("start").alias("start"), F.first("_text").alias("_text"))
     repeats = F.expr("(length(_text) - length(replace(_text, value, ''))) / length(value)")
     taken = votes.filter((F.col("label") == "ADDRESS") | (F.col("sure") & (F.col("context") | (repeats < MOST_REPEATS))))

@@ -16,6 +16,7 @@ from veilspark.functions import lexicon as X
 from veilspark.functions import validators as V
 from veilspark.functions.lexicon import any_of
 from veilspark.functions.text import spans_of, strip, window
+from veilspark.operators.grammar import BLANKS, CASE_NUMBERS, apart, bracketed_detail, labelled_address, not_before, number, organisation, regional_address, standing
 
 LABELS = ["RRN", "CARD", "PASSPORT", "BIZNO", "CORPNO", "DRIVER", "ACCOUNT", "PHONE", "EMAIL", "CASE", "CAR", "ORG", "ADDRESS", "ADDR_DETAIL", "NAME", "PERSON"]
 SKIPPABLE = [x for x in LABELS if x != "PERSON"]
@@ -38,47 +39,23 @@ class Rule:
     check: Callable[[Column], Column] | None = None
 
 
-_D, _S, _N = "[-−–—―.·]", r"[ \t]*", "[0-9]"
-_JOIN = f"{_S}{_D}{_S}"
+_D, _S, _N = "[-−–—―.·]", BLANKS, "[0-9]"
+_JOIN = apart("", _D, "")
 _SEP, _MUST = f"{_S}{_D}?{_S}", rf"(?:{_JOIN}|[ \t]+)"
 _NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = "(?<![0-9])", "(?![0-9])"
-_LEFT, _RIGHT, _RIGHT_LATIN = "(?<![0-9A-Za-z가-힣])", "(?![0-9A-Za-z가-힣])", "(?![0-9A-Za-z])"
 
 
 def _apart(n: int, first: str = _N) -> str:
     """n digits that may be spaced."""
-    return f"{first}(?:{_S}{_N}){{{n - 1}}}"
+    return apart(first, *[_N] * (n - 1))
 
 
 def _alone(body: str) -> str:
     return f"{_NO_DIGIT_BEFORE}(?:{body}){_NO_DIGIT_AFTER}"
 
 
-def _organisation(forms: list[str]) -> str:
-    """A legal form before or after a trade name that starts with a letter (after the form also a digit), isn't a role word and stays on one line."""
-    form = any_of(forms)
-    no_role = f"(?!{any_of(X.ORG_ROLES)}(?:[은는이가을를와과의도로에]|(?![가-힣])))"
-    rest = r"(?:(?!\(이하)[가-힣A-Za-z0-9·&().-])"
-    after = f"{no_role}[가-힣A-Za-z0-9]{rest}{{1,29}}?(?:[ \\t]{no_role}[가-힣A-Za-z0-9]{rest}{{0,19}}?)?"
-    stop = r"(?=(?:과|와|은|는|이|가|을|를)?(?:[\s,.;:()\[\]]|\z))"
-    before = f"{no_role}[가-힣A-Za-z]{rest}{{1,29}}?(?<![과와은는이가을를])"
-    return f"{_LEFT}(?:{form}{_S}{after}{stop}|{before}{_S}{form}(?=[과와은는이가을를의도로에]|[^가-힣A-Za-z0-9]|\\z))"
-
-
 _ACCOUNT_EDGE = "[0-9\\-−–—―]"
-_CASE_RULES = [
-    (f"{_LEFT}[0-9]{{4}}{_S}{any_of(X.COURT_CODES)}{_S}[0-9]+{_RIGHT_LATIN}", "[0-9]{4}[ \\t]*[가-힣]", ()),
-    (f"{_LEFT}[0-9]{{2}}{_S}{any_of(X.SHORT_COURT_CODES)}{_S}[0-9]{{2,6}}{_RIGHT_LATIN}", any_of(X.CASE_CONTEXT), tuple(X.CASE_CONTEXT)),
-    (f"{_LEFT}(?:20)?[0-9]{{2}}{_S}(?:형제|전형제|중제|공제|징수){_S}[0-9]+호?{_RIGHT_LATIN}", "제|징수", ()),
-    (f"{_LEFT}{any_of(X.LABOUR_REGIONS)}?{_S}[0-9]{{4}}{_S}(?:부해|부노|부차|부당){_S}[0-9]+{_RIGHT_LATIN}", "부[해노차당]", ()),
-    (f"{_LEFT}조심{_S}[0-9]{{4}}{_S}[가-힣]?{_S}[0-9]{{3,5}}{_RIGHT_LATIN}", "조심", ()),
-    (f"{_LEFT}(?:중앙행심|행심){_S}[0-9]{{4}}[-–]?[0-9]{{1,6}}{_RIGHT_LATIN}", "행심", ()),
-    (f"{_LEFT}(?:의결|심결|재결|결정|명령){_S}제?{_S}[0-9]{{4}}[-–][0-9]{{1,4}}(?:[-–][0-9]{{1,4}})?{_S}호{_RIGHT_LATIN}", "호", ()),
-]
 _TWO_SYLLABLE_CODES = [c for c in X.SHORT_COURT_CODES if len(c) == 2]
-_BLANKS = r"\s"
-_ADDRESS_LABELS = any_of([f"{_BLANKS}*".join(w) for w in ("주소", "주거", "소재지", "등록기준지", "거소", "사업장")])
-_ROOM = "[가-힣0-9 \\t,·.-]"
 
 
 def _rules() -> list[Rule]:
@@ -93,14 +70,14 @@ def _rules() -> list[Rule]:
         ("PHONE", f"(?<![0-9)])\\(?{V.PHONE_PREFIX}\\)?{_SEP}[0-9]{{3,4}}{_SEP}[0-9]{{4}}{_NO_DIGIT_AFTER}", "0[0-9]", 0, (), None),
         ("PHONE", _alone(f"{V.PHONE_PREFIX}[0-9]{{7,8}}"), "0[0-9]{8}", 0, (), None),
         ("PHONE", _alone(f"1[568][0-9]{{2}}{_MUST}[0-9]{{4}}"), "1[568][0-9]{2}", 0, (), None),
-        ("EMAIL", rf"[A-Za-z0-9._%+-]{{1,64}}{_BLANKS}*@{_BLANKS}*[A-Za-z0-9.-]{{1,255}}\.[A-Za-z]{{2,}}", "@", 0, (), None),
-        *(("CASE", p, needs, 0, context, None) for p, needs, context in _CASE_RULES),
-        ("CAR", f"{_LEFT}[0-9]{{2,3}}(?!{any_of(_TWO_SYLLABLE_CODES)})[{X.PLATE_SYLLABLES}]{_S}[0-9]{{4}}{_RIGHT}", "[0-9][가-힣]", 0, (), None),
-        ("ORG", _organisation(X.COMPANY_FORMS), any_of(X.COMPANY_FORMS), 0, (), None),
-        ("ORG", _organisation(X.FIRM_FORMS), any_of(X.FIRM_FORMS), 0, (), None),
-        ("ADDRESS", f"{_ADDRESS_LABELS}[\\s:：]+([가-힣][^\\n;]{{4,70}})", "주|소|등|사", 1, (), None),
-        ("ADDR_DETAIL", f"(\\({_ROOM}{{2,30}}[동가리로길]{_ROOM}{{0,30}}\\))", "\\(", 1, (), None),
-        ("ADDRESS", f"({any_of(X.REGIONS)}[ \\t]?[가-힣0-9 \\t\\-·,()]{{4,60}}?[0-9]+(?:-[0-9]+)?(?:호|번지)?)", any_of(X.REGIONS), 1, (), None),
+        ("EMAIL", r"[A-Za-z0-9._%+-]{1,64}\s*@\s*[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}", "@", 0, (), None),
+        *(("CASE", pattern, needs, 0, tuple(X.CASE_CONTEXT) if near else (), None) for pattern, needs, near in CASE_NUMBERS),
+        ("CAR", standing(apart(number(2, 3) + not_before(any_of(_TWO_SYLLABLE_CODES)) + f"[{X.PLATE_SYLLABLES}]", number(4))), "[0-9][가-힣]", 0, (), None),
+        ("ORG", organisation(X.COMPANY_FORMS), any_of(X.COMPANY_FORMS), 0, (), None),
+        ("ORG", organisation(X.FIRM_FORMS), any_of(X.FIRM_FORMS), 0, (), None),
+        ("ADDRESS", labelled_address(X.ADDRESS_LABELS), "주|소|등|사", 1, (), None),
+        ("ADDR_DETAIL", bracketed_detail("동가리로길"), "\\(", 1, (), None),
+        ("ADDRESS", regional_address(X.REGIONS), any_of(X.REGIONS), 1, (), None),
     ]
     return [Rule(k, label, pattern, needs, group, context, check) for k, (label, pattern, needs, group, context, check) in enumerate(plain, 1)]
 

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names (a folder of our own where it is unset) and read again."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/veilspark-shared"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, one of our own if there is a single machine, else an error."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
+    return f"file://{tempfile.gettempdir()}/veilspark-shared"
 
 
-def barrier(c: Column) -> Column:
-    """The column itself, but not deterministic in the optimizer's eyes: filters above aren't pushed into it, which would compute it twice."""
-    return F.when(F.rand() >= 0, c)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, written to the shared folder and read again. Folders are the cluster's to clean, as the results may be read at any later time."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

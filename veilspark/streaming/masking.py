@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark.operators.detect import detect, exploded
-from veilspark.operators.ledger import extend
+from veilspark.operators.ledger import entries_of
 from veilspark.operators.mask import mask
-from veilspark.sources.documents import read_ledger
+from veilspark.sources.documents import read_ledger, write_ledger
 
 
 def masked_stream(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
@@ -16,12 +16,13 @@ def masked_stream(docs: DataFrame, text_col: str = "text", **options) -> DataFra
     return mask(detect(docs, text_col, **options), text_col)
 
 
-def ledger_stream(docs: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id") -> StreamingQuery:
-    """Extends a versioned ledger with each batch: version n+1 is the ledger after batch n, so a batch that runs twice writes the same version."""
+def ledger_stream(docs: DataFrame, folder: str, checkpoint: str, id_col: str = "doc_id", **options) -> StreamingQuery:
+    """Adds each batch's new entries to a ledger folder, as a part named by the stream and the batch: a batch that runs twice replaces its own part, and another stream over the same folder goes on after what is there. One stream at a time may write to a folder."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
-        before = read_ledger(spark, f"{folder}/v{number}") if number else None
-        extend(exploded(detect(df), id_col).withColumnRenamed(id_col, "doc_id"), before).write.mode("overwrite").parquet(f"{folder}/v{number + 1}")
+        name = f"stream-{spark.sparkContext.getLocalProperty('sql.streaming.queryId')}-{number}"
+        found = exploded(detect(df, **options), id_col).withColumnRenamed(id_col, "doc_id")
+        write_ledger(entries_of(found, read_ledger(spark, folder, but=name)), folder, name)
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
