@@ -1,16 +1,19 @@
 """Page geometry: where values lie on a page of words, and which boxes take them away.
 
-Words are rows (doc_id, page_no, word_no, x0, y0, x1, y1, word). Search and expansion are joins on (doc_id, page_no) with range conditions; only the
-two greedy folds, stitching and merging, run in Python, for one page at a time (a page bounds the group).
+Words are rows (doc_id, page_no, word_no, x0, y0, x1, y1, word). Search and expansion are joins on (doc_id, page_no) with range conditions; the
+two greedy folds, stitching and merging, run over the sorted array of a page's boxes (a page bounds the group).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.functions.text import squash
+from veilspark.functions.text import let, squash
+from veilspark.operators.mask import bookmark_text
+from veilspark.operators.names import stands_alone
 
 PAGE = ["doc_id", "page_no"]
 MARGIN, COVERED, LINE, GAP, OVERLAP = 1.0, 0.5, 0.6, 12.0, 0.5
@@ -70,46 +73,53 @@ def swallowed(covered: Column, value: Column) -> Column:
     return F.regexp_extract(F.substr(covered, F.instr(covered, value) + F.length(value)), r"^([가-힣]{1,3})(?![가-힣])", 1)
 
 
-_JOBS = "doc_id long, page_no int, x0 double, y0 double, x1 double, y1 double, repl string, vlen int"
+_BOX = ["x0", "y0", "x1", "y1"]
+
+
+def _folded(jobs: DataFrame, order: Column, fits: Callable[[Column, Column], Column], joined: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
+    """A page's boxes in order, each joined to the first kept box that it fits, else kept itself. joined: the fields that change."""
+    fields = [c for c in jobs.columns if c not in PAGE]
+    keyed = F.struct(order.alias("order"), F.struct(*fields).alias("job"))
+    pages = jobs.groupBy(*PAGE).agg(F.transform(F.array_sort(F.collect_list(keyed)), lambda x: x["job"]).alias("jobs"))
+
+    def step(kept: Column, job: Column) -> Column:
+        at = F.array_position(F.transform(kept, lambda o: F.coalesce(fits(o, job), F.lit(False))), True)
+
+        def put(place: Column) -> Column:
+            one = lambda o: F.struct(*((c := joined(o, job)).get(f, o[f]).alias(f) for f in fields))
+            return F.when(place == 0, F.concat(kept, F.array(job))).otherwise(F.transform(kept, lambda o, i: F.when(i == place - 1, one(o)).otherwise(o)))
+
+        return let(at, put)
+
+    none = F.slice(F.col("jobs"), 1, 0)
+    return pages.select(*PAGE, F.inline(F.aggregate("jobs", none, step))).select(jobs.columns)
+
+
+def _hull(o: Column, j: Column) -> dict[str, Column]:
+    return {c: (F.least if c in ("x0", "y0") else F.greatest)(o[c], j[c]) for c in _BOX}
 
 
 def stitch(jobs: DataFrame) -> DataFrame:
-    """Joins boxes of one replacement that go on along a line, first fit in order."""
+    """Joins boxes (doc_id, page_no, x0, y0, x1, y1, repl, vlen) of one replacement that go on along a line, first fit in order."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for j in pdf.sort_values(["y0", "x0"], kind="stable").to_dict("records"):
-            for o in out:
-                high = min(o["y1"], j["y1"]) - max(o["y0"], j["y0"])
-                least = min(o["y1"] - o["y0"], j["y1"] - j["y0"])
-                gap = max(o["x0"], j["x0"]) - min(o["x1"], j["x1"])
-                if j["repl"] is not None and o["repl"] == j["repl"] and high > LINE * least and gap < GAP:
-                    o.update(x0=min(o["x0"], j["x0"]), y0=min(o["y0"], j["y0"]), x1=max(o["x1"], j["x1"]), y1=max(o["y1"], j["y1"]), vlen=max(o["vlen"], j["vlen"]))
-                    break
-            else:
-                out.append(j)
-        return pd.DataFrame(out, columns=pdf.columns)
+    def fits(o: Column, j: Column) -> Column:
+        high = F.least(o["y1"], j["y1"]) - F.greatest(o["y0"], j["y0"])
+        least = F.least(o["y1"] - o["y0"], j["y1"] - j["y0"])
+        gap = F.greatest(o["x0"], j["x0"]) - F.least(o["x1"], j["x1"])
+        return (o["repl"] == j["repl"]) & (high > LINE * least) & (gap < GAP)
 
-    return jobs.groupBy(*PAGE).applyInPandas(run, _JOBS)
+    return _folded(jobs, F.struct("y0", "x0"), fits, lambda o, j: _hull(o, j) | {"vlen": F.greatest(o["vlen"], j["vlen"])})
 
 
 def merge(jobs: DataFrame) -> DataFrame:
     """Joins boxes that overlap by more than half of the smaller one, longest values first; total removal wins."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for j in pdf.sort_values(["vlen", "y0", "x0"], ascending=[False, True, True], kind="stable").to_dict("records"):
-            for o in out:
-                w, h = min(o["x1"], j["x1"]) - max(o["x0"], j["x0"]), min(o["y1"], j["y1"]) - max(o["y0"], j["y0"])
-                smaller = min((o["x1"] - o["x0"]) * (o["y1"] - o["y0"]), (j["x1"] - j["x0"]) * (j["y1"] - j["y0"]))
-                if w > 0 and h > 0 and w * h > OVERLAP * smaller:
-                    o.update(x0=min(o["x0"], j["x0"]), y0=min(o["y0"], j["y0"]), x1=max(o["x1"], j["x1"]), y1=max(o["y1"], j["y1"]), repl=None if o["repl"] is None or j["repl"] is None else o["repl"])
-                    break
-            else:
-                out.append(j)
-        return pd.DataFrame(out, columns=pdf.columns)
+    def fits(o: Column, j: Column) -> Column:
+        width, height = F.least(o["x1"], j["x1"]) - F.greatest(o["x0"], j["x0"]), F.least(o["y1"], j["y1"]) - F.greatest(o["y0"], j["y0"])
+        smaller = F.least(*((x["x1"] - x["x0"]) * (x["y1"] - x["y0"]) for x in (o, j)))
+        return (width > 0) & (height > 0) & (width * height > OVERLAP * smaller)
 
-    return jobs.groupBy(*PAGE).applyInPandas(run, _JOBS)
+    return _folded(jobs, F.struct(-F.col("vlen"), "y0", "x0"), fits, lambda o, j: _hull(o, j) | {"repl": F.when(j["repl"].isNotNull(), o["repl"])})
 
 
 def unmapped(targets: DataFrame, boxes: DataFrame, saved: DataFrame) -> DataFrame:
@@ -119,22 +129,37 @@ def unmapped(targets: DataFrame, boxes: DataFrame, saved: DataFrame) -> DataFram
 
 
 def residual(targets: DataFrame, saved: DataFrame) -> DataFrame:
-    """Targets that the saved text still holds, once inserted replacements are taken out."""
+    """Targets (doc_id, value, repl, and label if there is one) that the saved text still holds, once inserted replacements are taken out. Names count where one stands alone."""
     joined = targets.join(saved, "doc_id")
     rest = F.when(F.col("repl").isNotNull() & (F.col("repl") != ""), F.replace(F.col("text"), F.col("repl"), F.lit(""))).otherwise(F.col("text"))
     found = F.exists(fragments(F.col("value")), lambda p: F.instr(rest, p) > 0) | (F.instr(squash(rest), squash(F.col("value"))) > 0)
+    if "label" in targets.columns:
+        alone = (F.instr("text", F.col("value")) > 0) & stands_alone(F.col("text"), F.col("value"))
+        found = F.when(F.col("label").isin("NAME", "PERSON"), alone).otherwise(found)
     return joined.filter(found).select("doc_id", "value")
 
 
+def leftover_metadata(metadata: DataFrame) -> DataFrame:
+    """Metadata (doc_id, key, value) that is still there after saving, as residual values; a file's format and encryption say nothing."""
+    left = metadata.filter((F.coalesce("value", F.lit("")) != "") & ~F.col("key").isin("format", "encryption"))
+    return left.select("doc_id", F.concat(F.lit("META:"), "key", F.lit("="), "value").alias("value"))
+
+
 def layout(jobs: DataFrame) -> DataFrame:
     """Font size (0.72 of the height, from 6 to 12) and baseline (28 % above the lower edge) of inserted text."""
     height = F.col("y1") - F.col("y0")
     return jobs.withColumn("size", F.least(F.greatest(height * 0.72, F.lit(6.0)), F.lit(12.0))).withColumn("baseline", F.col("y1") - height * 0.28)
 
 
-def hidden_scrubbed(hidden: DataFrame) -> DataFrame:
-    """Annotations and attachments go; bookmarks stay, to be masked. hidden: doc_id, origin, text."""
-    return hidden.filter(F.col("origin") == "bookmark")
+def hidden_scrubbed(hidden: DataFrame, targets: DataFrame | None = None) -> DataFrame:
+    """Annotations and attachments go; bookmarks stay, with their targets (doc_id, value, repl) masked, longest first. hidden: doc_id, origin, text."""
+    kept = hidden.filter(F.col("origin") == "bookmark")
+    if targets is None:
+        return kept
+    longest = F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "repl")))
+    lists = targets.groupBy("doc_id").agg(longest.alias("__veil_targets"))
+    text = F.when(F.col("__veil_targets").isNull(), F.col("text")).otherwise(bookmark_text(F.col("text"), F.col("__veil_targets")))
+    return kept.join(lists, "doc_id", "left").withColumn("text", text).drop("__veil_targets")
 
 
 def thin_layer(pages: DataFrame, least_chars: float = 300.0, image_share: float = 0.5) -> DataFrame:

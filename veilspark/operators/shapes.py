@@ -35,12 +35,20 @@ def exit_code(unmapped: Column, residual: Column, warnings: Column) -> Column:
     return F.when(F.greatest(n(unmapped), F.lit(0)) + F.greatest(n(residual), F.lit(0)) > 0, 1).when(n(warnings) > 0, 2).otherwise(0)
 
 
-def report(masked: DataFrame, id_col: str = "doc_id", masked_col: str = "masked", findings_col: str = "findings") -> DataFrame:
-    """One row a document: targets, labels, persons, orgs, residual, warnings (shapes that are left; that the recogniser of others is absent) and exit code."""
+def report(masked: DataFrame, id_col: str = "doc_id", masked_col: str = "masked", findings_col: str = "findings", unmapped_col: str | None = None, recogniser: bool = False) -> DataFrame:
+    """One row a document: targets, labels, persons, orgs, unmapped, residual, warnings, engine (whether another recogniser's hits were used) and exit code.
+
+    unmapped_col: values that no place was found for, as box and package masking give them. Warnings: shapes that are left, with a sample, and
+    that detection ran on rules alone.
+    """
     from veilspark.operators.detect import labels_of, values_of
 
-    warn = F.array_compact(F.array(*(F.when(F.size(hits(F.col(masked_col), s)) > 0, F.concat(F.lit(f"{s}: "), F.size(hits(F.col(masked_col), s)).cast("string"))) for s in SHAPES)))
+    left = [(s, hits(F.col(masked_col), s)) for s in SHAPES]
+    sample = lambda found: F.array_join(F.transform(F.slice(found, 1, 3), lambda v: peek(v)), ", ")
+    warn = [F.when(F.size(h) > 0, F.concat(F.lit(f"{s}: "), F.size(h).cast("string"), F.lit(": "), sample(h))) for s, h in left]
+    if not recogniser:
+        warn.append(F.lit("rules alone: names without any context aren't looked for"))
     f = F.col(findings_col)
-    unmapped = F.array().cast("array<string>")
-    base = masked.select(id_col, F.size(f).alias("targets"), labels_of(f).alias("by_label"), values_of(f, "NAME", "PERSON").alias("persons"), values_of(f, "ORG").alias("orgs"), unmapped.alias("unmapped"), F.col("residual"), warn.alias("warnings"))
+    unmapped = F.coalesce(F.col(unmapped_col), F.array().cast("array<string>")) if unmapped_col else F.array().cast("array<string>")
+    base = masked.select(id_col, F.size(f).alias("targets"), labels_of(f).alias("by_label"), values_of(f, "NAME", "PERSON").alias("persons"), values_of(f, "ORG").alias("orgs"), unmapped.alias("unmapped"), F.col("residual"), F.array_compact(F.array(*warn)).alias("warnings"), F.struct(F.lit(recogniser).alias("recogniser")).alias("engine"))
     return base.withColumn("exit_code", exit_code(F.col("unmapped"), F.col("residual"), F.col("warnings")))
