@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from veilspark.functions import text as X
 from veilspark.functions import validators as V
 from veilspark.operators import docx, geometry, ledger, mask, ner, shapes
-from veilspark.operators.detect import detect, exploded
-from veilspark.plans.corpus import CASES, Case, idiv
+from veilspark.operators.detect import FINDINGS, detect, exploded, without_artifacts
+from veilspark.operators.names import without_josa
+from veilspark.plans.corpus import CASES, MASKED_ALIASES, MASKED_ANON, MASKED_TOKENS, NAME, Case, Masked, flat, idiv
 from veilspark.sources.tables import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,13 +112,141 @@ def conversation_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask.mask(detect(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))).select("conv_id", "turn", "masked")
 
 
+# --- masked texts --------------------------------------------------------------
+
+
+def _masked_docs(spark: SparkSession, sf_dir: str, case: Masked) -> DataFrame:
+    return table(spark, sf_dir, case.table).select(F.col(case.key).alias("doc_id"), F.expr(case.text()).alias("text"))
+
+
+def _masked_sql(case: Masked, restored: bool) -> str:
+    columns = f", {case.text()} AS restored, CAST(0 AS BIGINT) AS n_collisions" if restored else ""
+    return f"SELECT {case.key} AS doc_id, {case.masked()} AS masked, CAST({case.replaced()} AS BIGINT) AS n_replaced, CAST(0 AS BIGINT) AS n_residual{columns} FROM {case.table}"
+
+
+def _masked_columns(done: DataFrame) -> DataFrame:
+    back = mask.restore(done)
+    return back.select("doc_id", "masked", F.col("n_replaced").cast("long").alias("n_replaced"), F.size("residual").cast("long").alias("n_residual"), "restored", F.size("collisions").cast("long").alias("n_collisions"))
+
+
+@query(_masked_sql(MASKED_TOKENS, True))
+def mask_every_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens for values of every label, and the texts back."""
+    return _masked_columns(mask.mask(detect(_masked_docs(spark, sf_dir, MASKED_TOKENS))))
+
+
+@query(_masked_sql(MASKED_ANON, False))
+def anonymise_every_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anonymous forms of values of every label; aliases are of each document alone."""
+    done = mask.anonymise(detect(_masked_docs(spark, sf_dir, MASKED_ANON)))
+    return done.select("doc_id", "masked", F.col("n_replaced").cast("long").alias("n_replaced"), F.size("residual").cast("long").alias("n_residual"))
+
+
+@query(_masked_sql(MASKED_ALIASES, True))
+def mask_alias_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The restorable style of aliases; one that the text holds already gets a suffix."""
+    return _masked_columns(mask.mask(mask.alias_marks(detect(_masked_docs(spark, sf_dir, MASKED_ALIASES))), marks_col="alias_marks"))
+
+
+@query("SELECT c_custkey AS doc_id, 'number' AS shape, CAST(1 AS BIGINT) AS hits FROM customer WHERE c_custkey % 2 = 0")
+def anon_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes that are left in anonymised texts: a number that no rule takes."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("전화 010-1234-5678 "), F.when(k % 2 == 0, "물품 123-45-678 출고").otherwise("물품 출고"))
+    done = mask.anonymise(detect(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))))
+    return shapes.scan_shapes(done, text_col="masked").select("doc_id", "shape", "hits")
+
+
+@query("SELECT s_suppkey AS doc_id, '가온 주식회사' AS value FROM supplier UNION ALL SELECT s_suppkey, '인신가온 주식회사 둘' FROM supplier")
+def org_prefix_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organisations that are another one with one or two characters before it go."""
+    org = lambda v: F.struct(F.lit(20).alias("rule_no"), F.lit(0).alias("pos"), F.lit("ORG").alias("label"), F.lit(v).alias("value"))
+    found = F.array(*map(org, ("가온 주식회사", "신가온 주식회사", "수신가온 주식회사", "인신가온 주식회사 둘"))).cast(FINDINGS)
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.inline(without_artifacts(found))).select("doc_id", "value")
+
+
+@query(f"SELECT c_custkey, {flat(NAME).replace('{k}', 'c_custkey')} AS bare FROM customer")
+def strip_particle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    particle = F.element_at(F.array(*map(F.lit, ("에게", "는", "으로서", "과"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", without_josa(F.concat(F.expr(flat(NAME).replace("{k}", "c_custkey")), particle)).alias("bare"))
+
+
+@query("SELECT c_custkey, '갑 을 ' || CAST(c_custkey AS VARCHAR) || '|갑을' || CAST(c_custkey AS VARCHAR) || '|둘째 줄|둘째줄' AS parts FROM customer")
+def value_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.concat(F.lit("갑 을 "), F.col("c_custkey").cast("string"), F.lit("\n12\n둘째 줄"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(geometry.fragments(value), "|").alias("parts"))
+
+
+@query("SELECT c_custkey, 'A의 목차 ' || repeat('○', length(CAST(c_custkey AS VARCHAR)) + 1) AS title FROM customer")
+def bookmark_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bookmarks that are masked and stay, while annotations go."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    number = F.concat(F.lit("#"), k.cast("string"))
+    title = F.concat(F.lit("김철수의 목차 "), number)
+    hidden = rows.select(k.alias("doc_id"), F.inline(F.array(F.struct(F.lit("bookmark").alias("origin"), title.alias("text")), F.struct(F.lit("annotation").alias("origin"), title.alias("text")))))
+    targets = rows.select(k.alias("doc_id"), F.inline(F.array(F.struct(F.lit("김철수").alias("value"), F.lit("A").alias("repl")), F.struct(number.alias("value"), F.lit(None).cast("string").alias("repl")))))
+    return geometry.hidden_scrubbed(hidden, targets).select(F.col("doc_id").alias("c_custkey"), F.col("text").alias("title"))
+
+
+@query("SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 2 = 0 THEN '[[PHONE_01]]' ELSE '' END AS marks FROM customer")
+def mark_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks that a source text holds before it is masked."""
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("전화 010-1234-5678"), F.when(k % 2 == 0, " [[PHONE_01]] 참고").otherwise(" 참고"))
+    done = mask.mask(detect(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))))
+    return done.select("doc_id", F.array_join("collisions", ",").alias("marks"))
+
+
+@query("SELECT c_custkey AS doc_id, '김철수' AS value FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, '010-1234-5678' FROM customer WHERE c_custkey % 3 = 1 UNION ALL SELECT c_custkey, 'META:author=' || CAST(c_custkey AS VARCHAR) FROM customer")
+def saved_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a saved file still holds: names that stand alone, numbers in any spacing, metadata."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    saved = rows.select(k.alias("doc_id"), F.when(k % 3 == 0, "원고 김철수는").when(k % 3 == 1, "원고김철수네거리 010-12 34-5678").otherwise("원고 A는 ■■■■").alias("text"))
+    targets = rows.select(k.alias("doc_id"), F.inline(F.array(F.struct(F.lit("NAME").alias("label"), F.lit("김철수").alias("value"), F.lit("A").alias("repl")), F.struct(F.lit("PHONE").alias("label"), F.lit("010-1234-5678").alias("value"), F.lit("■■■■").alias("repl")))))
+    data = rows.select(k.alias("doc_id"), F.inline(F.array(F.struct(F.lit("author").alias("key"), k.cast("string").alias("value")), F.struct(F.lit("format").alias("key"), F.lit("PDF").alias("value")), F.struct(F.lit("title").alias("key"), F.lit("").alias("value")))))
+    return geometry.residual(targets, saved).unionByName(geometry.leftover_metadata(data))
+
+
+@query("SELECT c_custkey AS doc_id, '없는 값' AS value FROM customer WHERE c_custkey % 2 = 0")
+def saved_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values without a box, unless the saved text doesn't hold them either."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer")
+    targets = rows.select(k.alias("doc_id"), F.explode(F.array(F.lit("없는 값"), F.lit("있는 값"))).alias("value"))
+    boxes = rows.select(k.alias("doc_id"), F.lit("있는 값").alias("value"))
+    return geometry.unmapped(targets, boxes, rows.select(k.alias("doc_id"), F.when(k % 2 == 0, "여기 없는값이 있다").otherwise("여기").alias("text")))
+
+
+@query("SELECT o_orderkey AS doc_id, 1 AS page_no, 1 AS box_no, -1.0::DOUBLE AS x0, -1.0::DOUBLE AS y0, CASE WHEN o_orderkey % 2 = 0 THEN 13.0 ELSE 11.0 END::DOUBLE AS x1, 11.0::DOUBLE AS y1 FROM orders")
+def box_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that grow by the words that lie in them by more than half, and a margin."""
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(k.alias("doc_id"), F.lit(1).alias("page_no"))
+    number = lambda c: F.lit(float(c))
+    boxes = orders.select("*", F.lit(1).alias("box_no"), number(0).alias("x0"), number(0).alias("y0"), number(10).alias("x1"), number(10).alias("y1"))
+    word = lambda a, b: F.struct(a.alias("x0"), number(2).alias("y0"), b.alias("x1"), number(8).alias("y1"))
+    words = orders.select("*", F.inline(F.array(word(F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(9.0), F.when(F.col("doc_id") % 2 == 0, 12.0).otherwise(30.0)), word(number(40), number(50)))))
+    return geometry.expand(boxes, words)
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 THEN '는' ELSE '에게' END AS tail, CASE WHEN o_orderkey % 2 = 0 THEN 7.2 ELSE 12.0 END::DOUBLE AS size FROM orders")
+def box_tail_and_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The particle that a box covers besides its value, and the size of inserted text."""
+    even = F.col("o_orderkey") % 2 == 0
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(0.0).alias("y0"), F.when(even, 10.0).otherwise(40.0).alias("y1"), F.when(even, "김철수는").otherwise("앞 김철수에게 뒤").alias("covered"))
+    return geometry.layout(jobs).select("doc_id", geometry.swallowed(F.col("covered"), F.lit("김철수")).alias("tail"), F.round("size", 6).alias("size"))
+
+
 @query("SELECT c_custkey AS doc_id, 'phone' AS shape, CAST(1 AS BIGINT) AS hits, '01…' || repeat('○', 10) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) AS sample FROM customer WHERE c_custkey % 3 = 0 "
        "UNION ALL SELECT c_custkey, 'number', CAST(1 AS BIGINT), '01…' || repeat('○', 10) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 0 "
-       "UNION ALL SELECT c_custkey, 'case', CAST(1 AS BIGINT), '20…' || repeat('○', 7) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 1")
+       "UNION ALL SELECT c_custkey, 'case', CAST(1 AS BIGINT), '20…' || repeat('○', 7) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 1 "
+       "UNION ALL SELECT c_custkey, 'rrn', CAST(1 AS BIGINT), '88…' || repeat('○', 11) || right(lpad(CAST(c_custkey % 9000 + 1000 AS VARCHAR), 4, '0'), 1) FROM customer WHERE c_custkey % 3 = 2 AND c_custkey % 2 = 0")
 def shape_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     four = F.lpad((k % 9000 + 1000).cast("string"), 4, "0")
-    text = F.when(k % 3 == 0, F.concat(F.lit("남은 010-"), four, F.lit("-"), four, F.lit(" 번호"))).when(k % 3 == 1, F.concat(F.lit("남은 2020가합"), four, F.lit(" 번호"))).otherwise("남은 것이 없다")
+    text = F.when(k % 3 == 0, F.concat(F.lit("남은 010-"), four, F.lit("-"), four, F.lit(" 번호"))).when(k % 3 == 1, F.concat(F.lit("남은 2020가합"), four, F.lit(" 번호"))).when(k % 2 == 0, F.concat(F.lit("남은 880101-123"), four, F.lit(" 번호"))).otherwise("남은 것이 없다")
     return shapes.scan_shapes(table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text")))
 
 
