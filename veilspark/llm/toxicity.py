@@ -3,8 +3,8 @@
 Only documents carry labels, so token labels come from them: within the sample, a word or a beginning of a word
 that marks toxic documents beyond chance labels its tokens in toxic documents as offending. The field has two
 states (fine, offending); emissions sum weights of the word and its beginnings and ends, transitions tie
-neighbours. Weights follow the exact gradient of the log-likelihood (forward-backward). At scoring time,
-forward-backward gives the marginal of each token; a document's score is a logistic function of their sum and
+neighbours. Weights follow the exact gradient of the log-likelihood: forward-backward gives the marginals of tokens for the
+emissions and those of pairs of neighbours for all transitions. At scoring time, it gives the marginal of each token; a document's score is a logistic function of their sum and
 maximum, and tokens of marginal 0.5 or more give the offending offsets.
 
 Whole texts are scored; chains run in blocks with a warm-up on both sides, over which what lies beyond fades far
@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +29,16 @@ from pyspark.sql import functions as F
 from veilspark.llm.common import crc_class, kept, map_arrow
 from veilspark.llm.words import WORD, WordTable, slices, words_of
 
-#: The fit uses about so many labelled rows at most, taken by a hash of the id ...
-FIT_ROWS = 2500
+#: The fit uses about so many labelled rows of each class at most, one of an id, taken by a hash of the id ...
+FIT_ROWS = 1500
 #: ... among texts of at most so many characters.
 FIT_CHARS = 40_000
 #: Size of the hashed weight table.
 WEIGHTS = 1 << 18
 #: Tokens of a block and of the warm-up on each side.
 BLOCK, WARM = 224, 48
-#: Log-likelihood ratio from which a word or beginning marks toxic documents.
-LEAST_RATIO = 34.0
+#: A word or beginning marks toxic documents if its log-likelihood ratio is beyond what chance would give one of all candidates with this probability.
+MARK_CHANCE = 0.01
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -64,8 +65,11 @@ class Field:
         return (self.weights[np.array([_features(w) for w in words], np.int64)].sum(axis=1) + self.bias).reshape(-1, 1)
 
 
-def _marginals(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Marginals of `offending`, by forward-backward over rows of equal length. scores: [rows, length]."""
+def forward_backward(scores: np.ndarray, transitions: np.ndarray, both: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of `offending` by token, for rows of equal length, and with `both` the marginals of neighbouring pairs, summed over rows and places where it is true.
+
+    scores: [rows, length]; both: [rows, length - 1]; pairs: [state, next state].
+    """
     n, length = scores.shape
     t = np.exp(transitions)
     offend = np.exp(np.clip(scores, -30, 30))
@@ -77,17 +81,20 @@ def _marginals(scores: np.ndarray, transitions: np.ndarray) -> np.ndarray:
         z = a + b
         a, b = a / z, b / z
         forward[0, i], forward[1, i] = a, b
-    out = np.empty((length, n))
+    out, pairs = np.empty((length, n)), np.zeros((2, 2))
     a, b = np.ones(n), np.ones(n)
     for i in range(length - 1, -1, -1):
         if i < length - 1:
             o = offend[:, i + 1] * b
+            if both is not None:
+                joint = np.array([[forward[0, i] * t[0, 0] * a, forward[0, i] * t[0, 1] * o], [forward[1, i] * t[1, 0] * a, forward[1, i] * t[1, 1] * o]])
+                pairs += (joint / joint.sum(axis=(0, 1)) * both[:, i]).sum(axis=2)
             a, b = t[0, 0] * a + t[0, 1] * o, t[1, 0] * a + t[1, 1] * o
             z = a + b
             a, b = a / z, b / z
         fine, off = forward[0, i] * a, forward[1, i] * b
         out[i] = off / (fine + off)
-    return out.T
+    return out.T, pairs
 
 
 def marginals(chains: list[np.ndarray], transitions: np.ndarray) -> list[np.ndarray]:
@@ -98,7 +105,7 @@ def marginals(chains: list[np.ndarray], transitions: np.ndarray) -> list[np.ndar
     padded = np.full(blocks * BLOCK + 2 * WARM, -30.0)
     padded[WARM : WARM + n] = parted
     rows = np.lib.stride_tricks.as_strided(padded, (blocks, BLOCK + 2 * WARM), (padded.strides[0] * BLOCK, padded.strides[0]))
-    flat = np.concatenate([np.zeros((0, BLOCK)), *(_marginals(rows[k : k + 2048], transitions)[:, WARM : WARM + BLOCK] for k in range(0, blocks, 2048))]).reshape(-1)
+    flat = np.concatenate([np.zeros((0, BLOCK)), *(forward_backward(rows[k : k + 2048], transitions)[0][:, WARM : WARM + BLOCK] for k in range(0, blocks, 2048))]).reshape(-1)
     ends = np.cumsum([len(c) + 1 for c in chains])
     return [flat[e - 1 - len(c) : e - 1] for c, e in zip(chains, ends, strict=True)]
 
@@ -113,6 +120,8 @@ def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
             keys.update(f"p {w[:k]}" for k in _PREFIXES if len(w) >= k)
         of[int(y)].update(keys)
     share = toxic.mean()
+    # Wilks: the ratio of a key that marks nothing is like a squared normal number; Bonferroni over all keys of the sample.
+    least = NormalDist().inv_cdf(1 - MARK_CHANCE / 2 / max(1, len(of[0].keys() | of[1].keys()))) ** 2
     found = set()
     for key, a in of[1].items():
         b = of[0].get(key, 0)
@@ -120,13 +129,13 @@ def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
         if p <= share or b > 0.02 * a:
             continue
         ratio = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0))
-        if ratio >= LEAST_RATIO:
+        if ratio >= least:
             found.add(key)
     return found
 
 
-def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Field:
-    """Fits the field and the document's logistic function on labelled texts."""
+def fit(texts: list[str], toxic: list[int], seed: int = 7, toxic_weight: float = 1.0) -> Field:
+    """Fits the field and the document's logistic function on labelled texts. toxic_weight: how many toxic texts one of the sample stands for, against one that isn't."""
     y = np.array(toxic, int)
     empty = Field(np.zeros(WEIGHTS + 1, np.float32), np.zeros((2, 2)), 0.0, np.zeros(3), 0.0)
     if not len(y) or y.min() == y.max():
@@ -148,7 +157,8 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Field:
     size, windows, targets = 24, [], []
     for words, own in zip(lower, y, strict=True):
         hits = [i for i, w in enumerate(words) if own and offends[w]]
-        starts = {max(0, min(i - int(rng.integers(size)), len(words) - size)) for i in hits[:8]}
+        # One window for each run of offending words, and some beside.
+        starts = {max(0, min(i - int(rng.integers(size)), len(words) - size)) for k, i in enumerate(hits) if k == 0 or i - hits[k - 1] >= size}
         starts |= {int(s) for s in rng.integers(0, max(1, len(words) - size + 1), 2 if not own else 1)}
         for s in starts:
             part = words[s : s + size]
@@ -161,31 +171,31 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Field:
     real = index != row.get("", -1)
     target = np.array(targets, float)
     weights, squares = np.zeros(WEIGHTS + 1), np.full(WEIGHTS + 1, 1e-6)
-    transitions, bias = np.zeros((2, 2)), -2.0
+    transitions, bias, slopes = np.zeros((2, 2)), -2.0, np.full((2, 2), 1e-6)
     for _ in range(12):
         order = rng.permutation(len(index))
         for k in range(0, len(order), 512):
             pick = order[k : k + 512]
             feats, mask, goal = table[index[pick]], real[pick], target[pick]
+            both = mask[:, 1:] & mask[:, :-1]
             scores = np.where(mask, weights[feats].sum(axis=2) + bias, -30.0)
-            p = _marginals(scores, transitions)
+            p, expected = forward_backward(scores, transitions, both)
             off = (goal - p) * mask
             step = np.bincount(feats.reshape(-1), np.repeat(off.reshape(-1), feats.shape[2]), WEIGHTS + 1) / len(pick) - 1e-5 * weights
             step[WEIGHTS] = 0
             squares += step * step
             weights += 0.25 * step / np.sqrt(squares)
             bias += 0.5 * off.sum() / mask.sum()
-            # Pairs of neighbours: seen against expected (under nearly independent marginals, which hold away from ties).
-            both = mask[:, 1:] & mask[:, :-1]
-            pair = [[(1 - goal[:, :-1], 1 - p[:, :-1]), None], [None, (goal[:, :-1], p[:, :-1])]]
-            for s in (0, 1):
-                seen = pair[s][s][0] * (goal[:, 1:] if s else 1 - goal[:, 1:])
-                expected = pair[s][s][1] * (p[:, 1:] if s else 1 - p[:, 1:])
-                transitions[s, s] = np.clip(transitions[s, s] + 0.5 * ((seen - expected) * both).sum() / both.sum(), -2, 2)
+            first, second = np.stack([1 - goal, goal])[:, :, :-1], np.stack([1 - goal, goal])[:, :, 1:]
+            seen = np.einsum("sij,tij,ij->st", first, second, both)
+            slope = (seen - expected) / len(pick) - 1e-2 * transitions
+            slope[0, 0] = 0  # one of the four goes with the rest
+            slopes += slope * slope
+            transitions += 0.1 * slope / np.sqrt(slopes)
     field = Field(weights.astype(np.float32), transitions, bias, np.zeros(3))
     emissions = WordTable(field.emissions, 1)
     found = marginals([emissions.of(words)[:, 0] for words in kept], field.transitions)
-    field.document = _logistic(np.array([_summary(p) for p in found]), y_kept)
+    field.document = _logistic(np.array([_summary(p) for p in found]), y_kept, np.where(y_kept == 1, toxic_weight, 1.0))
     return field
 
 
@@ -194,26 +204,31 @@ def _summary(p: np.ndarray) -> list[float]:
     return [1.0, math.log1p(p[p >= 0.05].sum()), p.max() if len(p) else 0.0]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, with a weak prior."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton steps, with a weak prior."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.3 * w)
+        h = (x * (weights * p * (1 - p))[:, None]).T @ x + 0.3 * np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (weights * (y - p)) - 0.3 * w)
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = FIT_ROWS) -> tuple[list[str], list[int]]:
-    """At most about `rows` labelled texts of ids outside the held-out class, by a hash of the id."""
-    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_class(id_col, 5) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
-    share = min(1.0, rows / max(1, own.count()))
-    own = own.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < round(share * 1_000_000))
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = FIT_ROWS) -> tuple[list[str], list[int], float]:
+    """At most about `rows` labelled texts of each class, of ids outside the held-out class and one of each id, in the order of a hash of the id; and the weight of toxic ones that makes up for unequal shares.
+
+    An id that is labelled more than once counts as toxic if any of its labels says so.
+    """
+    own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_class(id_col, 5) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
+    counts = {r["_label"]: r["count"] for r in own.groupBy("_label").count().collect()}
+    share = lambda c: min(1.0, rows / max(1, counts.get(c, 0)))
+    place = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(1_000_000))
+    own = own.filter(place < F.when(F.col("_label") == 1, round(share(1) * 1_000_000)).otherwise(round(share(0) * 1_000_000)))
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= FIT_CHARS))
-    # The sample is of about FIT_ROWS ids at most, so it may be broadcast.
-    found = texts.join(F.broadcast(own), "_id").select("_text", "_label").toArrow()
-    order = sorted(zip(found["_text"].to_pylist(), found["_label"].to_pylist(), strict=True))[: 2 * rows]
-    return [t for t, _ in order], [int(bool(y)) for _, y in order]
+    # The sample is of about 2 x FIT_ROWS ids at most, so it may be broadcast; of rows that repeat an id, the least text stays.
+    found = texts.join(F.broadcast(own), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
+    found = found.select("_text", "_label", F.xxhash64("_id", F.lit(5)).alias("_at")).toArrow().sort_by("_at")
+    return found["_text"].to_pylist(), found["_label"].to_pylist(), share(0) / share(1)
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -266,4 +281,5 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
     """The field that the labelled rows outside the held-out class give."""
-    return fit(*labelled_sample(docs, labels, id_col, text_col, label_col))
+    texts, toxic, weight = labelled_sample(docs, labels, id_col, text_col, label_col)
+    return fit(texts, toxic, toxic_weight=weight)
