@@ -31,7 +31,7 @@ FIT_WORDS, FIT_RUN, FIT_CHARS = 200, 6, 20_000
 #: Whether a text has letters, for Spark.
 LETTER = r"\p{L}"
 #: Size of the hashed n-gram space.
-GRAMS = 1 << 12
+GRAMS = 1 << 13
 
 # Language families by ISO 639-1 code; a code that isn't listed is a family of its own.
 FAMILIES = {
