@@ -24,8 +24,8 @@ from veilspark.llm.common import map_arrow, materialise
 
 #: Payload bytes come in rows of this size, filled up with this byte.
 ROW, FILL = 576, 255
-#: Edge of a tile.
-TILE = 16
+#: Edge of a tile, and rows of an image that are resized at once.
+TILE, STRIPE = 16, 4096
 _HEADER = re.compile(rb"(P[56])\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s")
 
 
@@ -83,37 +83,43 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     return palette[rows[:, :, 0]]
 
 
-def area_resize(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over equal boxes, with fractional edges, from the integral image."""
-    integral = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1))
-    np.cumsum(np.cumsum(grey, axis=0, dtype=np.float64), axis=1, out=integral[1:, 1:])
-    for axis, n in ((0, height), (1, width)):
-        size = integral.shape[axis] - 1
-        edges = np.arange(n + 1) * (size / n)
-        low = np.minimum(edges.astype(np.int64), size - 1)
-        part = (edges - low).reshape((-1, 1) if axis == 0 else (1, -1))
-        integral = np.take(integral, low, axis) * (1 - part) + np.take(integral, low + 1, axis) * part
-    boxes = np.diff(np.diff(integral, axis=0), axis=1)
-    return boxes / (grey.shape[0] * grey.shape[1] / (height * width))
+def grey_of(image: np.ndarray) -> np.ndarray:
+    return image[:, :, 0] if image.shape[2] == 1 else image @ np.array([0.299, 0.587, 0.114])
+
+
+def _sums(integral: np.ndarray, n: int) -> np.ndarray:
+    """Sums over n equal, fractional stretches of the first axis, from running sums that begin with 0."""
+    size = len(integral) - 1
+    edges = np.arange(n + 1) * (size / n)
+    low = np.minimum(edges.astype(np.int64), size - 1)
+    part = (edges - low)[:, None]
+    return np.diff(integral[low] * (1 - part) + integral[low + 1] * part, axis=0)
+
 
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Grey means over equal boxes, with fractional edges, from integral images: of each stripe of rows along its rows, then of what is left down the columns. So a tall image takes a stripe's memory and `width` numbers for each row."""
+    rows = np.zeros((len(image) + 1, width))
+    for k in range(0, len(image), STRIPE):
+        stripe = image[k : k + STRIPE]
+        across = np.cumsum(grey_of(stripe) if stripe.ndim == 3 else stripe, axis=1, dtype=np.float64)
+        rows[k + 1 : k + 1 + len(stripe)] = _sums(np.concatenate([np.zeros((1, len(stripe))), across.T]), width).T
+    np.cumsum(rows, axis=0, out=rows)
+    return _sums(rows, height) / (image.shape[0] * image.shape[1] / (height * width))
 
-def difference_hash(grey: np.ndarray) -> str:
+
+def difference_hash(image: np.ndarray) -> str:
     """64 bits: whether each of 8 x 9 areas is darker than its right neighbour."""
-    small = np.round(area_resize(grey, 8, 9), 6)
+    small = np.round(area_resize(image, 8, 9), 6)
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
-def tile_of(grey: np.ndarray) -> bytes:
+def tile_of(image: np.ndarray) -> bytes:
     """The area-resized image as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.round(area_resize(grey, TILE, TILE)).astype(np.uint8))
+    np.save(out, np.round(area_resize(image, TILE, TILE)).astype(np.uint8))
     return out.getvalue()
 
 
-def grey_of(image: np.ndarray) -> np.ndarray:
-    return image[:, :, 0] if image.shape[2] == 1 else image @ np.array([0.299, 0.587, 0.114])
-
-
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes and media: each text's payload as an image."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -126,28 +132,25 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return map_arrow(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_bytes long, media binary")
 
 
-def features(media: DataFrame, id_col: str = "doc_id", with_tile: bool = False) -> DataFrame:
-    """Decodes stored images: payload and media digests, the difference hash with the tile's digest, and (with_tile) the tile as NPY."""
+def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Decodes stored images: id_col, n_bytes, digests of payload and media, the difference hash (dhash) and the tile as an NPY file."""
     kind = media.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for data in batch.column(2).to_pylist():
             image = decode_image(data)
-            payload, grey = image.tobytes(), grey_of(image)
-            tile = tile_of(grey)
-            feature = f"{difference_hash(grey)}:{hashlib.sha256(tile).hexdigest()[:16]}"
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile))
-        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"]
+            payload = image.tobytes()
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), tile_of(image)))
+        names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "dhash", "tile"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        made = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-        keep = 7 if with_tile else 6
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made[:keep]], [id_col, "n_bytes", *names[:keep]])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], [id_col, "n_bytes", *names])
 
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", tile binary" * with_tile
+    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, dhash string, tile binary"
     return map_arrow(media.select(F.col(id_col), "n_bytes", "media"), run, schema)
 
 
 def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores every text as an image in the shared folder, reads the stored images back and computes their features."""
-    return features(materialise(store(docs, id_col, text_col), "media", "zstd"), id_col)
+    """Stores every text as an image in the shared folder, reads the images back, writes their tiles with difference hashes, and reads those back: features(), and `feature` of hash and tile."""
+    tiles = materialise(features(materialise(store(docs, id_col, text_col), "media", "zstd"), id_col), "tiles", "zstd")
+    return tiles.withColumn("feature", F.concat_ws(":", "dhash", F.left(F.sha2("tile", 256), F.lit(16))))

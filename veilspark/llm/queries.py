@@ -24,15 +24,51 @@ def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes a record for every page, normalises the archives and reads them back."""
-    members, _ = warc.archive(read(spark, sf_dir, "pages"))
+    """Writes a record for every page, normalises the archives and reads each record back by the index."""
+    index, folder = warc.archive(read(spark, sf_dir, "pages"))
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '<urn:x-record:(.*)>', 1) AS bigint)")
-    return warc.read_members(members).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+    return warc.read_records(index, folder).select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM f
+"""
+
+# All pairs that share a shingle; labels go along links until none changes.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM words
+), texts AS (
+  SELECT md5(CAST(list_sort(s) AS VARCHAR)) AS c, any_value(s) AS s, len(any_value(s)) AS n, min(doc_id) AS first FROM sets WHERE len(s) > 0 GROUP BY 1
+), held AS (
+  SELECT c, n, unnest(s) AS g FROM texts
+), pairs AS (
+  SELECT a.c AS a, b.c AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS o FROM held a JOIN held b ON a.g = b.g AND a.c < b.c GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM pairs WHERE 100 * o >= 90 * (na + nb - o)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (
+  SELECT c, c FROM texts UNION SELECT r.a, k.b FROM reach r JOIN ways k ON r.b = k.a
+), least AS (
+  SELECT r.a AS c, min(t.first) AS component_id FROM reach r JOIN texts t ON t.c = r.b GROUP BY 1
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, CASE WHEN len(d.s) = 0 THEN d.doc_id ELSE l.component_id END AS component_id
+FROM sets d LEFT JOIN least l ON len(d.s) > 0 AND l.c = md5(CAST(list_sort(d.s) AS VARCHAR))
+"""
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups documents whose 3-word shingles have a Jaccard similarity of at least 0.9."""
-    return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"))
+    return ngramjoin.near_duplicates(read(spark, sf_dir, "documents"), size=3, share=90)
 
 
 OP5_SQL = r"""
@@ -68,7 +104,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stores every document as an image, reads it back and computes features."""
-    return media.stored_features(read(spark, sf_dir, "documents"))
+    return media.stored_features(read(spark, sf_dir, "documents")).drop("dhash", "tile")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +167,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op5_decontaminate": OP5_SQL, "op9_urls": OP9_SQL}
+ORACLES: dict[str, str] = {"op3_warc": OP3_SQL, "op4_ngram_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_urls": OP9_SQL}

@@ -1,6 +1,7 @@
 """Host and path rules over URLs by a bit-parallel wildcard automaton.
 
-Each rule becomes two glob patterns over `host + path`: its host as it is, and its host below any subdomain. All patterns are
+Each rule becomes two glob patterns over `host + "/" + path` (no host holds a slash): its host as it is, and its host below any subdomain; what
+follows its path is free. A rule may hold wildcards itself. All patterns are
 packed into one Shift-And automaton of as many 64-bit words as they need: a bit for each pattern position, a mask for each byte
 value, and a mask of the positions that a wildcard lets stay. A batch of URLs steps through it together, so
 every URL costs the same for one rule or thousands, up to the width of the masks.
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import map_arrow
+from veilspark.llm.common import kept, map_arrow
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """verdict: allow or block; text: host and path, as in `example.com/en/`."""
+    """verdict: allow or block; text: host and path, as in `example.com/en/`, either with wildcards or not; without a path, any path fits."""
 
     verdict: str
     text: str
@@ -114,11 +115,9 @@ class Globs:
 
 def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """id_col, host, path, rule and verdict of every URL; a URL that no rule fits gets the default."""
-    for r in rules:
-        if "*" in r.text:
-            raise ValueError("a rule is a host and a path without wildcards")
     ranked = sorted(rules, key=lambda r: (-len(r.host) - len(r.path), -len(r.host)))
-    patterns = [p for r in ranked for p in (f"{r.host}{r.path}**", f"**.{r.host}{r.path}**" if not r.path else f"*.{r.host}{r.path}**")]
+    patterns = [p for r in ranked for p in (f"{r.host}/{r.path}**", f"*.{r.host}/{r.path}**")]
+    key = f"globs {patterns}"
     host, path = canonical(F.col(url_col))
     rows = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
     kind = df.schema[id_col].dataType.simpleString()
@@ -126,8 +125,8 @@ def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         # A `*` within a host or path of the URL is an ordinary byte of it.
-        urls = [(h + p).encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)]
-        globs = Globs(patterns)
+        urls = [f"{h}/{p}".encode("utf-8", "surrogatepass") for h, p in zip(hosts, paths, strict=True)]
+        globs = kept(key, lambda: Globs(patterns))
         fits = globs.match(urls).reshape(len(urls), len(ranked), 2).any(axis=2) if ranked else np.zeros((len(urls), 0), bool)
         first = np.where(fits.any(axis=1), fits.argmax(axis=1), -1) if ranked else np.full(len(urls), -1)
         rule = [ranked[k].text if k >= 0 else None for k in first]
