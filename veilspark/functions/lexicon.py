@@ -72,3 +72,9 @@ NOT_KIN = (
 def any_of(words: list[str]) -> str:
     """An alternation, longest first."""
     return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+def hint(words: list[str]) -> str:
+    """A cheap pattern that any of the words (of letters) fits: one of their first letters, and if all have more, one of their second ones; blanks may part them."""
+    letters = lambda k: "".join(dict.fromkeys(w[k] for w in words))
+    return f"[{letters(0)}]" + (f"\\s*[{letters(1)}]" if min(map(len, words)) > 1 else "")

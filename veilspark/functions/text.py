@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,7 +28,10 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\
 
 def scan(c: Column) -> Column:
     """What patterns run over: ASCII digits and white space of one kind, position by position."""
-    return F.translate(fold_digits(c), ODD_SPACE, "\x0b" * len(ODD_SPACE))
+    wide, odd = "０１２３４５６７８９", ODD_SPACE
+    changed = F.translate(c, wide + odd, "0123456789" + "\x0b" * len(odd))
+    # Most texts that are plain ASCII need no look at each character.
+    return F.when(F.regexp_like(c, F.lit(r"[^\x00-\x1b\x20-\x7f]")), changed).otherwise(c)
 
 
 def strip(c: Column) -> Column:
@@ -103,12 +108,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 SPANS = "array<struct<start:int,stop:int,match:string,value:string>>"
 
 
-def cuts(text: Column, pattern: Column | str, group: int = 0, needs: str | None = None) -> Column:
-    """What spans_of() needs: gaps between matches, matches and values; null without a match. needs: a cheap pattern to look for first."""
+def cuts(text: Column, pattern: Column | str, group: int = 0, needs: str | None = None, gate: Column | None = None) -> Column:
+    """What spans_of() needs: gaps between matches, matches and values; null without a match. gate: a condition to look at first; needs: a cheap pattern to look for then."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
     whole = F.regexp_extract_all(text, p, F.lit(0)).alias("w")
     made = F.struct(F.split(text, p, -1).alias("g"), whole, *([F.regexp_extract_all(text, p, F.lit(group)).alias("v")] if group else []))
-    return F.when((F.regexp_like(text, F.lit(needs)) if needs else F.lit(True)) & F.regexp_like(text, p), made)
+    first = [gate] if gate is not None else []
+    first += [F.regexp_like(text, F.lit(needs))] if needs else []
+    return F.when(reduce(operator.and_, [*first, F.regexp_like(text, p)]), made)
 
 
 def spans_of(cut: Column, group: int = 0) -> Column:

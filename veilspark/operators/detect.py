@@ -43,8 +43,8 @@ OWN = "__veil_"
 
 # Expressions over the scanned text don't depend on the documents, so each is built once for a Spark application.
 @lru_cache(maxsize=500)
-def _cut(key: str, pattern: str, group: int, needs: str) -> Column:
-    return cuts(F.col(f"{OWN}scan"), pattern, group, needs)
+def _cut(key: str, pattern: str, group: int, needs: str, hangul: bool) -> Column:
+    return cuts(F.col(f"{OWN}scan"), pattern, group, needs, F.col(f"{OWN}{'hangul' if hangul else 'number'}"))
 
 
 @lru_cache(maxsize=200)
@@ -72,8 +72,10 @@ def detect(docs: DataFrame, text_col: str = "text", skip: Sequence[str] = (), ex
     scan, key = F.col(f"{OWN}scan"), docs.sparkSession.sparkContext.applicationId
     rules = [r for r in RULES if r.label not in skip]
     named = [] if "NAME" in skip else NAME_RULES
+    # One look tells which rules a text can't fit at all.
+    docs = docs.withColumns({f"{OWN}hangul": F.regexp_like(scan, F.lit("[가-힣㈜]")), f"{OWN}number": F.regexp_like(scan, F.lit("[0-9@]"))})
     # Cuts are columns of a step of their own: each pattern runs over a text once.
-    docs = docs.withColumns({f"{OWN}c{r.no}": _cut(key, r.pattern, r.group, r.needs) for r in rules} | {f"{OWN}n{r.no}": _cut(key, r.pattern, 1, r.needs) for r in named})
+    docs = docs.withColumns({f"{OWN}c{r.no}": _cut(key, r.pattern, r.group, r.needs, r.hangul) for r in rules} | {f"{OWN}n{r.no}": _cut(key, r.pattern, 1, r.needs, True) for r in named})
     names = F.concat(_none(), *(_named(key, r, tuple(stop_words)) for r in named))
     if named and extra_names:
         # As they are, or with blanks between their characters.

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from veilspark.functions import lexicon as X
-from veilspark.functions.lexicon import any_of
+from veilspark.functions.lexicon import any_of, hint
 
 BLANKS = r"[ \t]*"
 LETTER, LETTER_OR_DIGIT = "[가-힣A-Za-z]", "[가-힣A-Za-z0-9]"
@@ -53,12 +53,12 @@ _DASH = "[-–]"
 #: Pattern, what a text must hold for it, and whether a word of litigation must be near (as a licence plate looks alike).
 CASE_NUMBERS: list[tuple[str, str, bool]] = [
     (case_number(number(4), any_of(X.COURT_CODES), number(1, None)), r"[0-9]{4}[ \t]*[가-힣]", False),
-    (case_number(number(2), any_of(X.SHORT_COURT_CODES), number(2, 6)), any_of(X.CASE_CONTEXT), True),
-    (case_number(maybe("20") + number(2), any_of(X.PROSECUTION_CODES), number(1, None) + maybe("호")), any_of(X.PROSECUTION_CODES), False),
-    (case_number(maybe(any_of(X.LABOUR_REGIONS)), number(4), any_of(X.LABOUR_CODES), number(1, None)), any_of(X.LABOUR_CODES), False),
+    (case_number(number(2), any_of(X.SHORT_COURT_CODES), number(2, 6)), r"[0-9]{2}[ \t]*[가-힣]", True),
+    (case_number(maybe("20") + number(2), any_of(X.PROSECUTION_CODES), number(1, None) + maybe("호")), hint(X.PROSECUTION_CODES), False),
+    (case_number(maybe(any_of(X.LABOUR_REGIONS)), number(4), any_of(X.LABOUR_CODES), number(1, None)), hint(X.LABOUR_CODES), False),
     (case_number("조심", number(4), maybe("[가-힣]"), number(3, 5)), "조심", False),
-    (case_number(any_of(X.APPEAL_BOARDS), number(4) + maybe(_DASH) + number(1, 6)), any_of(X.APPEAL_BOARDS), False),
-    (case_number(any_of(X.DECISIONS), maybe("제"), number(4) + _DASH + number(1, 4) + maybe(_DASH + number(1, 4)), "호"), any_of(X.DECISIONS), False),
+    (case_number(any_of(X.APPEAL_BOARDS), number(4) + maybe(_DASH) + number(1, 6)), "행심", False),
+    (case_number(any_of(X.DECISIONS), maybe("제"), number(4) + _DASH + number(1, 4) + maybe(_DASH + number(1, 4)), "호"), hint(X.DECISIONS), False),
 ]
 
 

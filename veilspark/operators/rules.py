@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspark.functions import lexicon as X
 from veilspark.functions import validators as V
-from veilspark.functions.lexicon import any_of
+from veilspark.functions.lexicon import any_of, hint
 from veilspark.functions.text import spans_of, strip, window
 from veilspark.operators.grammar import BLANKS, CASE_NUMBERS, apart, bracketed_detail, labelled_address, not_before, number, organisation, regional_address, standing
 
@@ -28,7 +28,7 @@ REACH = 40
 
 @dataclass(frozen=True)
 class Rule:
-    """no: order of declaration (the first label of a value wins); group: of the pattern, that holds the value; needs: a cheap pattern without which the rule can't match."""
+    """no: order of declaration (the first label of a value wins); group: of the pattern, that holds the value; needs: a cheap pattern without which the rule can't match; hangul: whether it (or its context) needs Hangul, else it needs a digit or an @."""
 
     no: int
     label: str
@@ -38,6 +38,10 @@ class Rule:
     context: tuple[str, ...] = ()
     check: Callable[[Column], Column] | None = None
 
+    @property
+    def hangul(self) -> bool:
+        return bool(self.context) or self.label in ("CASE", "CAR", "ORG", "ADDRESS", "ADDR_DETAIL")
+
 
 _D, _S, _N = "[-−–—―.·]", BLANKS, "[0-9]"
 _JOIN = apart("", _D, "")
@@ -66,18 +70,18 @@ def _rules() -> list[Rule]:
         ("BIZNO", _alone(f"[0-9]{{3}}{_JOIN}[0-9]{{2}}{_JOIN}[0-9]{{5}}"), "[0-9]{5}", 0, (), V.business_number),
         ("CORPNO", _alone(f"[0-9]{{6}}{_JOIN}[0-9]{{7}}"), "[0-9]{7}", 0, tuple(X.REGISTRY_CONTEXT), None),
         ("DRIVER", _alone(_JOIN.join(f"[0-9]{{{n}}}" for n in (2, 2, 6, 2))), "[0-9]{6}", 0, (), None),
-        ("ACCOUNT", f"(?<!{_ACCOUNT_EDGE})[0-9]{{2,7}}(?:{_JOIN}[0-9]{{2,7}}){{1,3}}(?!{_ACCOUNT_EDGE})|{_alone('[0-9]{10,16}')}", any_of(X.ACCOUNT_CONTEXT), 0, tuple(X.ACCOUNT_CONTEXT), V.account_number),
+        ("ACCOUNT", f"(?<!{_ACCOUNT_EDGE})[0-9]{{2,7}}(?:{_JOIN}[0-9]{{2,7}}){{1,3}}(?!{_ACCOUNT_EDGE})|{_alone('[0-9]{10,16}')}", "[0-9]{2}[^0-9]*[0-9]{2}", 0, tuple(X.ACCOUNT_CONTEXT), V.account_number),
         ("PHONE", f"(?<![0-9)])\\(?{V.PHONE_PREFIX}\\)?{_SEP}[0-9]{{3,4}}{_SEP}[0-9]{{4}}{_NO_DIGIT_AFTER}", "0[0-9]", 0, (), None),
         ("PHONE", _alone(f"{V.PHONE_PREFIX}[0-9]{{7,8}}"), "0[0-9]{8}", 0, (), None),
         ("PHONE", _alone(f"1[568][0-9]{{2}}{_MUST}[0-9]{{4}}"), "1[568][0-9]{2}", 0, (), None),
         ("EMAIL", r"[A-Za-z0-9._%+-]{1,64}\s*@\s*[A-Za-z0-9.-]{1,255}\.[A-Za-z]{2,}", "@", 0, (), None),
         *(("CASE", pattern, needs, 0, tuple(X.CASE_CONTEXT) if near else (), None) for pattern, needs, near in CASE_NUMBERS),
         ("CAR", standing(apart(number(2, 3) + not_before(any_of(_TWO_SYLLABLE_CODES)) + f"[{X.PLATE_SYLLABLES}]", number(4))), "[0-9][가-힣]", 0, (), None),
-        ("ORG", organisation(X.COMPANY_FORMS), any_of(X.COMPANY_FORMS), 0, (), None),
-        ("ORG", organisation(X.FIRM_FORMS), any_of(X.FIRM_FORMS), 0, (), None),
-        ("ADDRESS", labelled_address(X.ADDRESS_LABELS), "주|소|등|사", 1, (), None),
+        ("ORG", organisation(X.COMPANY_FORMS), "회사|법인|주\\)|㈜", 0, (), None),
+        ("ORG", organisation(X.FIRM_FORMS), "법인|사무소", 0, (), None),
+        ("ADDRESS", labelled_address(X.ADDRESS_LABELS), hint(X.ADDRESS_LABELS), 1, (), None),
         ("ADDR_DETAIL", bracketed_detail("동가리로길"), "\\(", 1, (), None),
-        ("ADDRESS", regional_address(X.REGIONS), any_of(X.REGIONS), 1, (), None),
+        ("ADDRESS", regional_address(X.REGIONS), hint(X.REGIONS), 1, (), None),
     ]
     return [Rule(k, label, pattern, needs, group, context, check) for k, (label, pattern, needs, group, context, check) in enumerate(plain, 1)]
 
