@@ -84,7 +84,8 @@ def runs(packages: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 if is_package(content):
                     yield pd.DataFrame([(key, *r) for r in package_runs(content)], columns=["doc_id", "part", "para_no", "run_no", "text"])
 
-    return packages.select(id_col, "content").mapInPandas(run, "doc_id long, part string, para_no int, run_no int, text string")
+    kind = packages.schema[id_col].dataType.simpleString()
+    return packages.select(id_col, "content").mapInPandas(run, f"doc_id {kind}, part string, para_no int, run_no int, text string")
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
