@@ -18,6 +18,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -82,6 +83,10 @@ def parse(page: str) -> Tree:
     tree, stack, tags = Tree(), [], []
     run: list[str] = []
     linked = [0, 0]  # characters within links; open links
+    # How many elements of a tag are open; for each open element, the paragraph that a block would close (-1: none); tags without a further end.
+    opened: Counter[str] = Counter()
+    closable: list[int] = []
+    endless: set[str] = set()
 
     def node(tag: str, names: list[str]) -> None:
         parent = stack[-1] if stack else -1
@@ -93,7 +98,9 @@ def parse(page: str) -> Tree:
         tree.features.append([_feature(x) for x in dict.fromkeys(features)])
         tree.texts.append(None)
         stack.append(len(tree.parents) - 1)
+        closable.append(len(tags) if tag == "p" else -1 if not tags or tag in ("td", "th", "button") else closable[-1])
         tags.append(tag)
+        opened[tag] += 1
 
     def flush() -> None:
         if run:
@@ -103,7 +110,7 @@ def parse(page: str) -> Tree:
                     node("body", [])
                 size, share = len(text), linked[0] / max(1, sum(map(len, run)))
                 marks = sum(text.count(c) for c in ".,;:!?")
-                features = ["x", f"xt {tags[-1]}", f"xs {min(8, size.bit_length())}", f"xl {min(4, int(share * 5))}", f"xm {min(4, marks)}", f"xe {text[-1] in '.!?…'}", f"xc {'©' in text}", f"xn {sum(tag in ('nav', 'footer', 'aside', 'form', 'header') for tag in tags) > 0}"]
+                features = ["x", f"xt {tags[-1]}", f"xs {min(8, size.bit_length())}", f"xl {min(4, int(share * 5))}", f"xm {min(4, marks)}", f"xe {text[-1] in '.!?…'}", f"xc {'©' in text}", f"xn {any(opened[tag] for tag in ('nav', 'footer', 'aside', 'form', 'header'))}"]
                 tree.parents.append(stack[-1])
                 tree.depths.append(len(stack))
                 tree.features.append([_feature(x) for x in features])
@@ -114,7 +121,8 @@ def parse(page: str) -> Tree:
     def close(upto: int) -> None:
         flush()
         linked[1] = 0
-        del stack[upto:], tags[upto:]
+        opened.subtract(tags[upto:])
+        del stack[upto:], tags[upto:], closable[upto:]
 
     at = 0
     while m := _TAG.search(page, at):
@@ -129,14 +137,16 @@ def parse(page: str) -> Tree:
         if m[1]:
             if tag == "a":
                 linked[1] = 0
-            elif tag in BLOCKS and tag in tags:
-                close(len(tags) - 1 - tags[::-1].index(tag))
+            elif tag in BLOCKS and opened[tag]:
+                close(next(k for k in range(len(tags) - 1, -1, -1) if tags[k] == tag))
             elif tag == "p":
                 flush()
             continue
         if tag in SKIPPED:
             if not m[3].rstrip().endswith("/") or tag != "svg":
-                end = re.compile(rf"</{tag}\s*>|</{tag}\b[^>]*>", re.I).search(page, at)
+                end = None if tag in endless else re.compile(rf"</{tag}\s*>|</{tag}\b[^>]*>", re.I).search(page, at)
+                if not end:
+                    endless.add(tag)
                 at = end.end() if end else len(page) if tag not in ("head", "title", "button", "select") else at
             run.append(" ")
         elif tag == "a":
@@ -147,10 +157,8 @@ def parse(page: str) -> Tree:
             flush()
             if tag == "hr":
                 continue
-            if "p" in tags and tag not in ("html", "body"):
-                p = len(tags) - 1 - tags[::-1].index("p")
-                if not {"td", "th", "button"} & set(tags[p + 1 :]):
-                    close(p)
+            if tags and closable[-1] >= 0 and tag not in ("html", "body"):
+                close(closable[-1])
             if tag in CLOSES:
                 for k in range(len(tags) - 1, -1, -1):
                     if tags[k] in SCOPES[tag]:
@@ -158,7 +166,7 @@ def parse(page: str) -> Tree:
                     if tags[k] in CLOSES[tag]:
                         close(k)
                         break
-            if tag in ("html", "body") and tag in tags:
+            if tag in ("html", "body") and opened[tag]:
                 continue
             node(tag, _names(m[3]))
         # Other elements are inline: they part no text and are no nodes.
