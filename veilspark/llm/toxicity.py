@@ -4,8 +4,8 @@ Only documents carry labels, so token labels come from them: within the sample,
 that marks toxic documents beyond chance labels its tokens in toxic documents as offending. The field has two
 states (fine, offending); emissions sum weights of the word and its beginnings and ends, transitions tie
 neighbours. Weights follow the exact gradient of the log-likelihood: forward-backward gives the marginals of tokens for the
-emissions and those of pairs of neighbours for all transitions. At scoring time, it gives the marginal of each token; a document's score is a logistic function of their sum and
-maximum, and tokens of marginal 0.5 or more give the offending offsets.
+emissions and those of pairs of neighbours for all transitions. At scoring time, it gives the marginal of each token; a document's score is a logistic function of their evidence,
+and tokens of marginal 0.5 or more give the offending offsets.
 
 Whole texts are scored; chains run in blocks with a warm-up on both sides, over which what lies beyond fades far
 below float precision. Null and empty texts have no tokens and get the score of an all-fine document. Without
@@ -39,6 +39,8 @@ WEIGHTS = 1 << 18
 BLOCK, WARM = 224, 48
 #: A word or beginning marks toxic documents if its log-likelihood ratio is beyond what chance would give one of all candidates with this probability.
 MARK_CHANCE = 0.01
+#: Least share of toxic texts among those with the word, as in the sample; how sure it is then, the field learns.
+MARK_SHARE = 0.5
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -126,7 +128,7 @@ def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     for key, a in of[1].items():
         b = of[0].get(key, 0)
         p = a / (a + b)
-        if p <= share or b > 0.02 * a:
+        if p <= max(share, MARK_SHARE):
             continue
         ratio = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0))
         if ratio >= least:
@@ -137,18 +139,27 @@ def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
 def fit(texts: list[str], toxic: list[int], seed: int = 7, toxic_weight: float = 1.0) -> Field:
     """Fits the field and the document's logistic function on labelled texts. toxic_weight: how many toxic texts one of the sample stands for, against one that isn't."""
     y = np.array(toxic, int)
-    empty = Field(np.zeros(WEIGHTS + 1, np.float32), np.zeros((2, 2)), 0.0, np.zeros(3), 0.0)
+    empty = Field(np.zeros(WEIGHTS + 1, np.float32), np.zeros((2, 2)), 0.0, np.zeros(2), 0.0)
     if not len(y) or y.min() == y.max():
         empty.constant = float(y[0]) if len(y) else 0.0
         return empty
     lower = [[w.lower() for part in words_of(t) for w in part] for t in texts]
-    # The document's function is fitted on rows that the field hasn't seen.
+    # The document's function is fitted on rows that its field hasn't seen; the field itself then on all.
     aside = np.arange(len(y)) % 4 == 3
-    if len({*y[aside]}) == 2 and len({*y[~aside]}) == 2:
-        kept, y_kept = [w for w, a in zip(lower, aside, strict=True) if a], y[aside]
-        lower, y = [w for w, a in zip(lower, aside, strict=True) if not a], y[~aside]
+    if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:
+        aside[:] = True
+        first = whole = _fitted_field(lower, y, seed)
     else:
-        kept, y_kept = lower, y
+        first = _fitted_field([w for w, a in zip(lower, aside, strict=True) if not a], y[~aside], seed)
+        whole = _fitted_field(lower, y, seed)
+    emissions = WordTable(first.emissions, 1)
+    found = marginals([emissions.of(words)[:, 0] for words, a in zip(lower, aside, strict=True) if a], first.transitions)
+    whole.document = _logistic(np.array([_summary(p) for p in found]), y[aside], np.where(y[aside] == 1, toxic_weight, 1.0))
+    return whole
+
+
+def _fitted_field(lower: list[list[str]], y: np.ndarray, seed: int) -> Field:
+    """The field alone, on the lower-cased words of labelled texts."""
     marks = _marking(lower, y)
     offends = {}
     for w in {w for words in lower for w in words}:
@@ -192,16 +203,13 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, toxic_weight: float =
             slope[0, 0] = 0  # one of the four goes with the rest
             slopes += slope * slope
             transitions += 0.1 * slope / np.sqrt(slopes)
-    field = Field(weights.astype(np.float32), transitions, bias, np.zeros(3))
-    emissions = WordTable(field.emissions, 1)
-    found = marginals([emissions.of(words)[:, 0] for words in kept], field.transitions)
-    field.document = _logistic(np.array([_summary(p) for p in found]), y_kept, np.where(y_kept == 1, toxic_weight, 1.0))
-    return field
+    return Field(weights.astype(np.float32), transitions, bias, np.zeros(2))
 
 
 def _summary(p: np.ndarray) -> list[float]:
-    """What a document's score depends on: a constant, the sum of its tokens' marginals (but for the noise of fine tokens), and their maximum."""
-    return [1.0, math.log1p(p[p >= 0.05].sum()), p.max() if len(p) else 0.0]
+    """What a document's score depends on: a constant, and the evidence of its tokens (minus the logarithm of their marginals of `fine`, but for the noise of fine tokens)."""
+    seen = p[p >= 0.05]
+    return [1.0, math.log1p(float(-np.log1p(-np.minimum(seen, 1 - 1e-6)).sum()))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
