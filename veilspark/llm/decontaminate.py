@@ -1,42 +1,48 @@
 """Benchmark decontamination: which windows of benchmark items occur in documents. DataFrame operations only.
 
-A window is `size` consecutive words of an item (an item with fewer words is one window). For a window to be contained, all of its
-shingles must be, so the prefix that has to be joined is its rarest shingle alone, by counts over all documents. A document's shingle that
-equals a window's rarest one puts the window at one position; it must lie within the document (positional and length bounds), and then
-the words are compared one by one. Documents' words stay in their row while shingles are probed, so only true occurrences are
-shuffled. They are aggregated by the text's digest, so copies of a text add up before the shuffle, and joined to documents at the end.
+A window is `size` consecutive words of an item (an item with fewer words is one window). Texts are read once for their shingles: a
+place of a document whose shingle (three words) is one of a window's is a hit, and only hits are kept, once for equal texts. For a
+window to be contained, all of its shingles must be, so the prefix that has to be joined is its rarest shingle alone, by counts over all
+documents; windows with a shingle that no document holds are out. A hit of the rarest shingle puts the window at one place
+(positional bound), which is exact if each of the window's shingles is a hit at its own place (so the window lies within the text, too).
 
-Windows are broadcast in blocks of a bounded number; more blocks are more passes, without a shuffle of the documents.
+The shingles of windows are broadcast up to a number; beyond, places and shingles meet by shuffle. Hits are shuffled by shingle and by
+text and place, so neither a frequent passage nor a long text gathers in one task; marks of texts are dealt over SALTS copies before
+they meet documents, so a text with very many copies doesn't either.
 
 Null and empty texts have no words, are hit nowhere and have no items. Items without words have no window. Rows with the same item id are
-one item; a null item id isn't listed, but its hits count.
+one item; a null item id isn't listed, but its hits count. Columns of documents are free to have any names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialise
+from veilspark.llm.common import free_name, materialise
 
 #: Words of a shingle, at most.
 SHINGLE = 3
-#: Windows that are broadcast at once (about 200 bytes each).
-BLOCK_WINDOWS = 50_000
+#: Distinct shingles of windows (about 150 bytes each) and contaminated texts (a digest each) that are broadcast, at most.
+BROADCAST_SHINGLES, BROADCAST_TEXTS = 200_000, 500_000
+#: Copies of a text's marks, over which its documents are dealt.
+SALTS = 16
 
-# Fixed value: what words consist of, after A-Z became a-z.
+# What words consist of, after A-Z became a-z, and before.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
     """Words of a text, A-Z lower-cased; none for null."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    text = F.coalesce(text, F.lit(""))
+    # lower() takes all letters, but in a text of ASCII those are A-Z; it is many times as fast as translate().
+    lower = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def _shingle(own: str, at: str, width: int) -> Column:
-    """Hash of `width` words of an array from a position (from 0)."""
-    return F.expr(f"xxhash64({width}, {', '.join(f'get({own}, {at} + {k})' for k in range(width))})")
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -48,46 +54,43 @@ def windows_of(items: DataFrame, id_col: str, text_col: str, size: int) -> tuple
     return distinct, parts.select("window", "item").distinct()
 
 
-def _probes(docs: DataFrame, width: int) -> DataFrame:
-    """digest, w, pos and shingle of each position of each document."""
-    exploded = docs.select("digest", "w", F.posexplode("w").alias("pos", "_word"))
-    return exploded.filter(F.col("pos") + width <= F.size("w")).select("digest", "w", "pos", _shingle("w", "pos", width).alias("shingle"))
-
-
-def _documents(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("digest"), words(F.col(text_col)).alias("w"))
+def _hits(docs: DataFrame, shingles: DataFrame, text_col: str, width: int, few: bool) -> DataFrame:
+    """digest, pos, sid and n of each place of a text with one of the shingles (sid, key, said) of `width` words; n: copies of the text."""
+    own = docs.select(digest_of(F.col(text_col)).alias("digest"), words(F.col(text_col)).alias("w"))
+    # Rows of `width` words: the array, and itself moved by one and two.
+    moved = F.arrays_zip(*((F.col("w") if k == 0 else F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(1)))).alias(f"w{k}") for k in range(width)))
+    places = own.select("digest", F.posexplode(moved).alias("pos", "x")).filter(F.col(f"x.w{width - 1}").isNotNull())
+    parts = [F.col(f"x.w{k}") for k in range(width)]
+    keyed = places.select("digest", "pos", F.xxhash64(*parts).alias("key"), *(p.alias(f"w{k}") for k, p in enumerate(parts)))
+    same = F.concat_ws(" ", *(f"w{k}" for k in range(width))) == F.col("said")
+    found = keyed.join(F.broadcast(shingles) if few else shingles, "key").filter(same)
+    return found.groupBy("digest", "pos", "sid").agg(F.count("*").alias("n"))
 
 
 def occurrences(docs: DataFrame, windows: DataFrame, text_col: str = "text") -> DataFrame:
     """digest, start, width and window of each occurrence of a window in a text, once for equal texts. windows: window, words, width."""
-    shingled = windows.withColumn("k", F.least(F.col("width"), F.lit(SHINGLE)))
-    widths = sorted(r[0] for r in shingled.select("k").distinct().collect())
-    found = None
-    for width in widths:
-        own = shingled.filter(F.col("k") == width).select("window", "words", "width")
-        at = own.select("window", "words", "width", F.explode(F.expr(f"sequence(0, width - {width})")).alias("offset"))
-        at = at.withColumn("shingle", _shingle("words", "offset", width))
-        blocks = -(-own.count() // BLOCK_WINDOWS)
-        block = lambda df, b: df.filter(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b) if blocks > 1 else df  # noqa: B023, E731
-        counts = None
-        for b in range(blocks):
-            # Occurrences of the windows' shingles in all documents: their rarity.
-            distinct = block(at, b).select("shingle").distinct()
-            part = _probes(_documents(docs, text_col), width).select("shingle").join(F.broadcast(distinct), "shingle").groupBy("shingle").count()
-            counts = part if counts is None else counts.unionByName(part)
-        counts = materialise(counts.groupBy("shingle").agg(F.max("count").alias("count")), "rarity")
-        # A shingle that no document holds rules its windows out.
-        rarest = at.join(counts, "shingle", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "offset", "shingle")).alias("r"))
-        keyed = materialise(own.join(rarest.filter("r.count > 0"), "window").select("window", "words", "width", F.col("r.offset").alias("offset"), F.col("r.shingle").alias("shingle")), "windows")
-        for b in range(blocks):
-            probes = _probes(_documents(docs, text_col), width)
-            start = F.col("pos") - F.col("offset")
-            placed = probes.join(F.broadcast(block(keyed, b)), "shingle").filter((start >= 0) & (start + F.col("width") <= F.size("w")))
-            exact = placed.filter(F.slice("w", start + 1, F.col("width")) == F.col("words")).select("digest", start.alias("start"), "width", "window").distinct()
-            found = exact if found is None else found.unionByName(exact)
-    if found is None:
-        found = _documents(docs, text_col).select("digest", F.lit(0).alias("start"), F.lit(0).alias("width"), F.lit("").alias("window")).limit(0)
-    return materialise(found, "occurrences")
+    own = windows.withColumn("k", F.least(F.col("width"), F.lit(SHINGLE)))
+    at = own.select("window", "width", "k", F.posexplode(F.expr("transform(sequence(1, width - k + 1), i -> array_join(slice(words, i, k), ' '))")).alias("offset", "said"))
+    # Written, so a shingle's number is the same in every later step.
+    shingles = materialise(at.select("k", "said").distinct().withColumn("sid", F.monotonically_increasing_id()), "shingles")
+    sizes = {r["k"]: r["count"] for r in shingles.groupBy("k").count().collect()}
+    at = materialise(at.join(shingles, ["k", "said"]).select("window", "width", "offset", "sid"), "places")
+    hits = None
+    for k in sorted(sizes):
+        said = F.split("said", " ")
+        keys = shingles.filter(F.col("k") == k).select(F.xxhash64(*(F.get(said, F.lit(j)) for j in range(k))).alias("key"), "said", "sid")
+        part = _hits(docs, keys, text_col, k, sizes[k] <= BROADCAST_SHINGLES)
+        hits = part if hits is None else hits.unionByName(part)
+    if hits is None:
+        return windows.select(F.lit(b"").alias("digest"), F.lit(0).alias("start"), "width", "window").limit(0)
+    hits = materialise(hits, "hits")
+    counts = hits.groupBy("sid").agg(F.sum("n").alias("n"))
+    rarest = at.join(counts, "sid", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "sid")).alias("r"), F.count("*").alias("parts"), F.first("width").alias("width"))
+    keyed = rarest.filter("r.n > 0").select("window", "width", "parts", F.col("r.offset").alias("first"), F.col("r.sid").alias("sid"))
+    placed = hits.join(keyed, "sid").select("digest", (F.col("pos") - F.col("first")).alias("start"), "width", "window", "parts").filter("start >= 0")
+    wanted = placed.join(at.select("window", "offset", "sid"), "window").withColumn("pos", F.col("start") + F.col("offset"))
+    exact = wanted.join(hits.select("digest", "pos", "sid"), ["digest", "pos", "sid"]).groupBy("digest", "start", "width", "window", "parts").agg(F.count("*").alias("met"))
+    return materialise(exact.filter("met = parts").select("digest", "start", "width", "window"), "occurrences")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
@@ -95,26 +98,30 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     windows, holders = windows_of(items, item_col, item_text, size)
     windows, holders = materialise(windows, "windows"), materialise(holders, "holders")
     found = occurrences(docs, windows, text_col)
-    runs = found.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("width")).alias("end")))).alias("runs"))
-    # Merges runs in order: the last one grows while the next begins within it.
-    merged = F.expr("""aggregate(runs, cast(array() AS array<struct<start: int, end: int>>), (acc, x) ->
-        CASE WHEN size(acc) > 0 AND x.start <= element_at(acc, -1).end
-             THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', greatest(element_at(acc, -1).end, x.end))))
-             ELSE concat(acc, array(named_struct('start', x.start, 'end', x.end))) END)""")
-    spans = runs.select("digest", merged.alias("spans")).withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.start)"))
+    runs = found.select("digest", "start", (F.col("start") + F.col("width")).alias("end")).distinct()
+    ordered = Window.partitionBy("digest").orderBy("start", "end")
+    before = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    # A run that begins beyond all before it begins a span.
+    numbered = runs.withColumn("new", (before.isNull() | (F.col("start") > before)).cast("int")).withColumn("span", F.sum("new").over(ordered))
+    spans = numbered.groupBy("digest", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"), F.sum(F.col("end") - F.col("start")).alias("n_hit"))
     listed = found.select("digest", "window").distinct().join(holders, "window").select("digest", F.col("item").cast("string").alias("item")).distinct()
     held = listed.groupBy("digest").agg(F.count("item").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_set("item")), ","), 256).alias("items_sha256"))
-    marks = materialise(spans.join(held, "digest", "left"), "marks")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.select(F.col(id_col), F.sha2(text, 256).alias("digest"), F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    marks = materialise(spans.join(held, "digest", "left"), "marks").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    n_words = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(ANY_WORD)).cast("long")
+    own = docs.select(F.col(id_col).alias("id"), digest_of(F.col(text_col)).alias("digest"), n_words.alias("n_words"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int").alias("salt"))
+    # Texts without words meet nothing; a key of their id's spreads them (16 bytes, while a digest has 32).
+    own = own.withColumn("digest", F.when(F.col("n_words") > 0, F.col("digest")).otherwise(F.unhex(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))))))
     none = F.sha2(F.lit(""), 256)
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return own.join(marks, "digest", "left").select(id_col, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
+    return own.join(marks, ["digest", "salt"], "left").select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "spans")
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no window of an item."""
     windows, _ = windows_of(items, item_col, item_text, size)
-    marked = materialise(occurrences(docs, materialise(windows, "windows"), text_col).select(F.col("digest").alias("_digest")).distinct(), "marked")
-    own = docs.withColumn("_digest", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    return own.join(marked, "_digest", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    key = free_name(docs, "digest")
+    marked = materialise(occurrences(docs, materialise(windows, "windows"), text_col).select(F.col("digest").alias(key)).distinct(), "marked")
+    few = marked.count() <= BROADCAST_TEXTS
+    own = docs.withColumn(key, digest_of(F.col(f"`{text_col}`")))
+    return own.join(F.broadcast(marked) if few else marked, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
