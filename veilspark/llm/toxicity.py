@@ -39,8 +39,8 @@ WEIGHTS = 1 << 18
 BLOCK, WARM = 224, 48
 #: A word or beginning marks toxic documents if its log-likelihood ratio is beyond what chance would give one of all candidates with this probability.
 MARK_CHANCE = 0.01
-#: Least share of toxic texts among those with the word, as in the sample; how sure it is then, the field learns.
-MARK_SHARE = 0.5
+#: Least share of toxic texts among those with the word, with the sample's classes weighted back; how sure it is then, the field learns.
+MARK_SHARE = 0.7
 _PREFIXES = (3, 4, 5, 6)
 
 
@@ -112,7 +112,7 @@ def marginals(chains: list[np.ndarray], transitions: np.ndarray) -> list[np.ndar
     return [flat[e - 1 - len(c) : e - 1] for c, e in zip(chains, ends, strict=True)]
 
 
-def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
+def _marking(texts: list[list[str]], toxic: np.ndarray, weight: float) -> set[str]:
     """Words (`w `) and beginnings (`p `) that mark toxic documents beyond chance."""
     of = (Counter(), Counter())
     for words, y in zip(texts, toxic, strict=True):
@@ -128,7 +128,7 @@ def _marking(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
     for key, a in of[1].items():
         b = of[0].get(key, 0)
         p = a / (a + b)
-        if p <= max(share, MARK_SHARE):
+        if p <= share or a * weight <= MARK_SHARE * (a * weight + b):
             continue
         ratio = 2 * (a * math.log(p / share) + (b * math.log((1 - p) / (1 - share)) if b else 0))
         if ratio >= least:
@@ -148,19 +148,19 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7, toxic_weight: float =
     aside = np.arange(len(y)) % 4 == 3
     if len({*y[aside]}) < 2 or len({*y[~aside]}) < 2:
         aside[:] = True
-        first = whole = _fitted_field(lower, y, seed)
+        first = whole = _fitted_field(lower, y, toxic_weight, seed)
     else:
-        first = _fitted_field([w for w, a in zip(lower, aside, strict=True) if not a], y[~aside], seed)
-        whole = _fitted_field(lower, y, seed)
+        first = _fitted_field([w for w, a in zip(lower, aside, strict=True) if not a], y[~aside], toxic_weight, seed)
+        whole = _fitted_field(lower, y, toxic_weight, seed)
     emissions = WordTable(first.emissions, 1)
     found = marginals([emissions.of(words)[:, 0] for words, a in zip(lower, aside, strict=True) if a], first.transitions)
     whole.document = _logistic(np.array([_summary(p) for p in found]), y[aside], np.where(y[aside] == 1, toxic_weight, 1.0))
     return whole
 
 
-def _fitted_field(lower: list[list[str]], y: np.ndarray, seed: int) -> Field:
+def _fitted_field(lower: list[list[str]], y: np.ndarray, weight: float, seed: int) -> Field:
     """The field alone, on the lower-cased words of labelled texts."""
-    marks = _marking(lower, y)
+    marks = _marking(lower, y, weight)
     offends = {}
     for w in {w for words in lower for w in words}:
         offends[w] = f"w {w}" in marks or any(f"p {w[:k]}" in marks for k in _PREFIXES if len(w) >= k)
