@@ -9,7 +9,7 @@ fragment and summed, twice:
    corpus and each is bounded. What they count is summed for each set; most documents end here.
 2. *Pairs.* Sets that are left are ordered by rarity; a pair must share a shingle among the first n - ceil(t n) + 1 of both. Lengths must fit,
    and so must parity sketches: each shingle flips a bit, so sketches of a linking pair differ in no more bits than the sets may in
-   shingles. Groups of a common shingle first link to one leader each; after that, only pairs that aren't known to be connected are
+   shingles. In a few rounds, groups of a common shingle first link to leaders; after that, only pairs that aren't known to be connected are
    looked at. So a large group of copies costs about its size, and no link between different components is lost. Overlaps of the pairs are
    counted for each fragment of the order separately and summed, and t is tested on the exact sums.
 
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veilspark.llm.common import Generations, bounded_batches, kept, materialise, trim
+from veilspark.llm.common import Generations, bounded_batches, free_name, kept, materialise, trim
 from veilspark.llm.components import components
 
 #: Postings of a step of a task, and of a fragment, about.
@@ -39,10 +39,14 @@ STEP_POSTINGS, FRAGMENT_POSTINGS = 1_000_000, 4_000_000
 LEAST_FRAGMENTS, PAIR_FRAGMENTS = 32, 4
 #: Ranges of keys in which a fragment is counted, a power of two.
 PASSES = 4
+#: Sets of a shingle that meet its leader in one part.
+HOT = 500
+#: Rounds in which sets meet leaders, before those that are still apart meet each other.
+STARS = 3
 #: 64-bit words of a parity sketch.
 SKETCH = 8
-#: Sets that are left are told by a broadcast up to so many (16 bytes each), else by a shuffle.
-BROADCAST_SETS = 500_000
+#: Sets that are left are told by a broadcast up to so many (about 100 bytes each in a hash table), else by a shuffle.
+BROADCAST_SETS = 300_000
 #: Bytes of distinct words whose hashes a worker keeps, about; bytes of text that are split at once.
 KEPT_BYTES, SLICE = 64 << 20, 4 << 20
 
@@ -205,15 +209,15 @@ def _fits(n: Column, m: Column, s: Column, r: Column, share: int) -> Column:
 
 
 def _prefixes(sets: DataFrame, share: int) -> DataFrame:
-    """h, tag, n, sketch: for each set, those of its n - ceil(t n) + 1 rarest shingles that occur in other sets."""
+    """h, tag, n, sketch, lone (its share of shingles that no other set has), salts (parts into which a frequent shingle's sets are dealt): for each set, those of its n - ceil(t n) + 1 rarest shingles that occur in other sets."""
     exploded = sets.select("tag", F.explode("hashes").alias("h"))
     counts = exploded.groupBy("h").count().filter("count > 1")
     both = exploded.join(counts, "h")
     own = Window.partitionBy("tag")
-    ranked = both.select("tag", "h", F.row_number().over(own.orderBy("count", "h")).alias("at"), F.count("*").over(own).alias("shared"))
+    ranked = both.select("tag", "h", "count", F.row_number().over(own.orderBy("count", "h")).alias("at"), F.count("*").over(own).alias("shared"))
     found = ranked.join(sets.select("tag", "n", "sketch"), "tag")
     # Shingles of this set alone come first in its order.
-    return found.filter(F.col("n") - F.col("shared") + F.col("at") <= F.col("n") - _least_shared(F.col("n"), share) + 1).select("h", "tag", "n", "sketch")
+    return found.filter(F.col("n") - F.col("shared") + F.col("at") <= F.col("n") - _least_shared(F.col("n"), share) + 1).select("h", "tag", "n", "sketch", (1 - F.col("shared") / F.col("n")).alias("lone"), F.ceil(F.col("count") / HOT).cast("int").alias("salts"))
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, share: int) -> DataFrame:
@@ -231,22 +235,31 @@ def link_classes(sets: DataFrame, share: int) -> DataFrame:
     prefixes = materialise(_prefixes(sets, share), "prefixes")
     active = prefixes.select("tag").distinct()
     segments = materialise(sets.join(active, "tag", "left_semi").select("tag", F.posexplode(F.array(*lists)).alias("fragment", "part")).filter(F.size("part") > 0), "segments")
-    links, labels = None, None
-    for turn in range(2):  # stars
-        own = prefixes if labels is None else prefixes.join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag"))
-        member = F.struct(F.xxhash64("tag", F.lit(turn)).alias("x"), "tag", "n", "sketch")
-        leaders = own.groupBy("h").agg(F.min(member).alias("lead"), *([] if labels is None else [F.min("label").alias("l0"), F.max("label").alias("l1")]))
-        if labels is not None:
-            leaders = leaders.filter("l0 != l1")
-        pairs = own.join(leaders.select("h", "lead"), "h").filter((F.col("tag") != F.col("lead.tag")) & _fits(F.col("n"), F.col("lead.n"), F.col("sketch"), F.col("lead.sketch"), share))
-        pairs = pairs.select(F.least("tag", "lead.tag").alias("a"), F.greatest("tag", "lead.tag").alias("b"), F.when(F.col("tag") < F.col("lead.tag"), F.col("n")).otherwise(F.col("lead.n")).alias("na"), F.when(F.col("tag") < F.col("lead.tag"), F.col("lead.n")).otherwise(F.col("n")).alias("nb")).distinct()
+    dealt = prefixes.withColumn("salt", F.pmod(F.xxhash64("tag", F.lit(-1)), F.col("salts")).cast("int"))
+    own, links = dealt.withColumn("label", F.col("tag")), None
+    for turn in range(STARS):
+        # Each set of a shingle meets two leaders. What copies were made from has the fewest shingles of its own, so it leads first; after
+        # that, one of the least and one of the largest label of the shingle's sets lead, and only sets of other labels meet them.
+        member = F.struct(F.round("lone", 3).alias("lone") if turn % 2 == 0 else F.xxhash64("tag", F.lit(turn)).alias("lone"), F.xxhash64("tag").alias("x"), "tag", "n", "sketch", "label")
+        ends = own.groupBy("h").agg(F.min(member).alias("lead"), F.min("label").alias("l0"), F.max("label").alias("l1"), F.first("salts").alias("salts")).filter("l0 != l1")
+        if turn:
+            by_label = F.struct("label", F.struct(member["lone"], member["x"], member["tag"], member["n"], member["sketch"], member["label"]).alias("lead"))
+            least = own.groupBy("h").agg(F.min(by_label).alias("a"), F.max(by_label).alias("b"), F.first("salts").alias("salts")).filter("a.label != b.label")
+            ends = least.select("h", F.explode(F.array("a.lead", "b.lead")).alias("lead"), "salts")
+        # The sets of a frequent shingle meet its leader in parts, each with a copy of it.
+        leaders = materialise(ends.select("h", "lead", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "leaders")
+        met = own.join(leaders, ["h", "salt"]).filter((F.col("label") != F.col("lead.label")) & _fits(F.col("n"), F.col("lead.n"), F.col("sketch"), F.col("lead.sketch"), share))
+        first = F.col("tag") < F.col("lead.tag")
+        pairs = met.select(F.least("tag", "lead.tag").alias("a"), F.greatest("tag", "lead.tag").alias("b"), F.when(first, F.col("n")).otherwise(F.col("lead.n")).alias("na"), F.when(first, F.col("lead.n")).otherwise(F.col("n")).alias("nb")).distinct()
         found = _verified(pairs, segments, share)
         links = materialise(found if links is None else links.unionByName(found), "links")
         labels = components(links).select(F.col("node").alias("tag"), F.col("root").alias("label"))
+        own = materialise(dealt.join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag")), "labelled")
     # The rest: pairs of different labels. A band holds lengths within a factor of 1/t, so a pair's bands are equal or next to each other.
-    own = prefixes.join(labels, "tag", "left").withColumn("label", F.coalesce("label", "tag")).withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / share)))).cast("int"))
-    mixed = own.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("h")
-    own = materialise(own.join(mixed, "h", "left_semi"), "open")
+    own = own.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / share)))).cast("int"))
+    mixed = own.groupBy("h").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.first("salts").alias("salts")).filter("l0 != l1")
+    mixed = materialise(mixed.select("h", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "mixed")
+    own = materialise(own.join(mixed, ["h", "salt"], "left_semi"), "open")
     shorter = own.select("h", F.col("tag").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("label").alias("la"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     longer = own.select("h", F.col("tag").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("label").alias("lb"), "band")
     ahead = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
@@ -254,7 +267,7 @@ def link_classes(sets: DataFrame, share: int) -> DataFrame:
     return links.unionByName(_verified(rest.select("a", "b", "na", "nb").distinct(), segments, share))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, share: int = 90) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """id_col, n_shingles and component_id (the smallest id reachable by links of a Jaccard similarity of at least share %) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -281,11 +294,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") == 0, F.col("_id")).otherwise(F.col("_component")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, share: int = 90) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 80) -> DataFrame:
     """The rows of docs, all columns as they are, that have the smallest id of their component; of rows repeated with their id, one stays. Different rows with a null id all stay if no row of their component has an id."""
-    found = near_duplicates(docs, id_col, text_col, size, share).select(F.col(id_col).alias("_kept"), "component_id")
-    kept = materialise(found.filter(F.col("_kept").eqNullSafe(F.col("component_id"))).groupBy("_kept").agg(F.count("*").alias("_times")), "kept")
+    kept_name, times = free_name(docs, "kept"), free_name(docs, "times")
+    found = near_duplicates(docs, id_col, text_col, size, share).select(F.col(id_col).alias(kept_name), "component_id")
+    once = materialise(found.filter(F.col(kept_name).eqNullSafe(F.col("component_id"))).groupBy(kept_name).agg(F.count("*").alias(times)), "kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    joined = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")))
-    once = joined.filter("_times = 1").select(*columns)
-    return once.unionByName(joined.filter("_times > 1").select(*columns).dropDuplicates())
+    joined = docs.join(once, F.col(f"`{id_col}`").eqNullSafe(F.col(kept_name)))
+    single = joined.filter(F.col(times) == 1).select(*columns)
+    return single.unionByName(joined.filter(F.col(times) > 1).select(*columns).dropDuplicates())
