@@ -165,6 +165,33 @@ def test_aliases_are_restored(spark):
         assert all(r.residual == [] and r.collisions == [] for r in rows)
 
 
+def test_suffixes_of_aliases(spark):
+    import re
+    import time
+
+    def mark(text, alias):
+        alone = lambda m: re.search(f"(?<![0-9A-Za-z가-힣]){re.escape(m)}(?![0-9A-Za-z])", text)
+        return next(m for m in [alias, *(f"{alias}{k}" for k in range(2, 100))] if not alone(m))
+
+    cases = [("A B", "C"), ("A, A2, A3", "A"), ("AA A22 A3", "A"), ("A A2x 갑A2 A02", "A"), ("A " + " ".join(f"A{k}" for k in range(2, 99)), "A"), ("K-K K-K2-K3 K-K4", "K-K"), ("K2-K K2-K2-K3", "K2-K"), ("전화A 전화A10 전화A2", "전화A"), ("D2 D22 D24", "D2"), ("A.", "A"), ("", "A")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i long, text string, alias string")
+    got = {r.i: r.mark for r in rows.select("i", mask.alias_mark(F.col("text"), F.col("alias")).alias("mark")).collect()}
+    assert got == {i: mark(*c) for i, c in enumerate(cases)}
+    full = spark.createDataFrame([("A " + " ".join(f"A{k}" for k in range(2, 100)), "A")], "text string, alias string")
+    with pytest.raises(Exception, match="no mark is free for A"):
+        full.select(mask.alias_mark(F.col("text"), F.col("alias")).alias("mark")).collect()
+    many = spark.range(0, 20_000, numPartitions=1).select(mask.alias_mark(F.concat(F.lit("원고 A 안을 "), F.col("id").cast("string")), F.lit("전화A")).alias("mark"))
+    slow = max(1.0, min(_seconds(lambda: sum(range(1_000_000)), time.perf_counter) for _ in range(5)) / 0.02)
+    assert _seconds(lambda: many.agg(F.countDistinct("mark")).collect(), time.perf_counter) < 2.5 * slow
+
+
+def test_masked_queries_deal_out_keys(spark, tmp_path):
+    from veilspark.plans import catalogue
+
+    spark.range(300).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalogue.mask_alias_style(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_reports(spark):
     docs = detect(spark.createDataFrame([(1, "원고 김철수는 123-45-678 을"), (2, "없음")], "doc_id long, text string"))
     done = mask.anonymise(docs).withColumn("lost", F.when(F.col("doc_id") == 2, F.array(F.lit("x"))))

@@ -89,9 +89,11 @@ def _alone(mark: Column) -> Column:
 
 def alias_mark(text: Column, alias: Column) -> Column:
     """The alias, or with the first suffix from 2 to 99 that doesn't occur in the text; raises if there is none."""
-    tries = F.concat(F.array(alias), F.transform(F.sequence(F.lit(2), F.lit(99)), lambda k: F.concat(alias, k.cast("string"))))
-    free = F.filter(tries, lambda m: ~standalone(text, m))
-    return F.when(F.size(free) > 0, F.get(free, F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("no mark is free for "), alias)).cast("string"))
+    # One look at the text finds all suffixes that are taken; as it takes no characters, occurrences may overlap.
+    taken = F.regexp_extract_all(text, F.concat(F.lit("(?<![0-9A-Za-z가-힣])(?="), quoted(alias), F.lit("([2-9]|[1-9][0-9])(?![0-9A-Za-z]))")), F.lit(1))
+    free = F.array_except(F.array(*(F.lit(str(k)) for k in range(2, 100))), taken)
+    mark = F.when(F.contains(text, alias) & standalone(text, alias), F.concat(alias, F.get(free, F.lit(0)))).otherwise(alias)
+    return F.coalesce(mark, F.raise_error(F.concat(F.lit("no mark is free for "), alias)).cast("string"))
 
 
 def collisions(text: Column, marks: Column) -> Column:
