@@ -430,3 +430,22 @@ def test_held_out_rows_of_the_tables(spark):
     found = language.identify(docs, language.fitted(docs), keep=True).filter(toxicity.crc_class("doc_id", 4) == 2).filter("lang is not null and lang_pred <> 'und'")
     r = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("share")).first()
     assert r.share > 0.99
+
+
+def test_toxicity_is_fitted_by_a_task(spark, monkeypatch):
+    import os
+
+    rows = [(i, f"w{i % 7} plain {'vile' if i % 2 else 'kind'} words here", i % 2) for i in range(200)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = both.select("doc_id", "text"), both.select("doc_id", "toxic")
+    texts, toxic, weight = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    want, driver, fit = toxicity.fit(texts, toxic, toxic_weight=weight), os.getpid(), toxicity.fit
+
+    def elsewhere(texts, toxic, **more):
+        assert not texts or os.getpid() != driver
+        return fit(texts, toxic, **more)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.fitted(docs, labels)
+    assert (got.weights == want.weights).all() and (got.document == want.document).all() and got.constant is None
+    assert toxicity.fitted(docs.limit(0), labels.limit(0)).constant == 0.0

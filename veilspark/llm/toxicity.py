@@ -15,9 +15,11 @@ any usable label, all scores are 0; with labels of one class, all scores are tha
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from statistics import NormalDist
 
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import crc_class, kept, map_arrow
+from veilspark.llm.common import bounded_batches, crc_class, kept, map_arrow, trim
 from veilspark.llm.words import WORD, WordTable, slices, words_of
 
 #: The fit uses about so many labelled rows of each class at most, one of an id, taken by a hash of the id ...
@@ -222,11 +224,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return w
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = FIT_ROWS) -> tuple[list[str], list[int], float]:
-    """At most about `rows` labelled texts of each class, of ids outside the held-out class and one of each id, in the order of a hash of the id; and the weight of toxic ones that makes up for unequal shares.
-
-    An id that is labelled more than once counts as toxic if any of its labels says so.
-    """
+def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int) -> tuple[DataFrame, float]:
+    """The rows of labelled_sample() (_text, _label, and _at for their order), and the weight."""
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (crc_class(id_col, 5) != 0)).groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_label"))
     counts = {r["_label"]: r["count"] for r in own.groupBy("_label").count().collect()}
     share = lambda c: min(1.0, rows / max(1, counts.get(c, 0)))
@@ -235,8 +234,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= FIT_CHARS))
     # The sample is of about 2 x FIT_ROWS ids at most, so it may be broadcast; of rows that repeat an id, the least text stays.
     found = texts.join(F.broadcast(own), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text"))
-    found = found.select("_text", "_label", F.xxhash64("_id", F.lit(5)).alias("_at")).toArrow().sort_by("_at")
-    return found["_text"].to_pylist(), found["_label"].to_pylist(), share(0) / share(1)
+    return found.select("_text", "_label", F.xxhash64("_id", F.lit(5)).alias("_at")), share(0) / share(1)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = FIT_ROWS) -> tuple[list[str], list[int], float]:
+    """At most about `rows` labelled texts of each class, of ids outside the held-out class and one of each id, in the order of a hash of the id; and the weight of toxic ones that makes up for unequal shares.
+
+    An id that is labelled more than once counts as toxic if any of its labels says so.
+    """
+    found, weight = _sample(docs, labels, id_col, text_col, label_col, rows)
+    return *_in_order(found.toArrow()), weight
+
+
+def _in_order(found: pa.Table) -> tuple[list[str], list[int]]:
+    found = found.sort_by("_at")
+    return found["_text"].to_pylist(), found["_label"].to_pylist()
 
 
 def score_documents(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -288,6 +300,15 @@ def _spans(text: str, p: np.ndarray) -> list[dict]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field that the labelled rows outside the held-out class give."""
-    texts, toxic, weight = labelled_sample(docs, labels, id_col, text_col, label_col)
-    return fit(texts, toxic, toxic_weight=weight)
+    """The field that the labelled rows outside the held-out class give. A task fits it, so the driver's memory holds the field alone and not the texts."""
+    found, weight = _sample(docs, labels, id_col, text_col, label_col, FIT_ROWS)
+    bounded_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if got := list(batches):
+            texts, toxic = _in_order(pa.Table.from_batches(got))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic, toxic_weight=weight))], pa.binary())], ["field"])
+        trim()
+
+    made = found.repartition(1).mapInArrow(run, "field binary").collect()
+    return pickle.loads(made[0]["field"]) if made else fit([], [])
